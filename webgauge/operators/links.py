@@ -29,9 +29,20 @@ def _references(kind: str) -> Column:
     return F.filter(resolved, lambda t: t.isNotNull())
 
 
-def _edges(pages: DataFrame, kind: str) -> DataFrame:
+@lru_cache
+def _entries(kinds: tuple[str, ...]) -> Column:
+    def of(kind: str) -> Column:
+        return F.transform(
+            _references(kind),
+            lambda target, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), target.alias("target")),
+        )
+
+    return F.concat(*[of(kind) for kind in kinds])
+
+
+def _edges(pages: DataFrame, *kinds: str) -> DataFrame:
     # The outer form keeps the optimizer from evaluating the targets a second time in a filter.
-    rows = pages.select("site", "url", F.lit(kind).alias("kind"), F.posexplode_outer(_references(kind)).alias("pos", "target"))
+    rows = pages.select("site", "url", F.inline_outer(_entries(kinds)))
     return rows.where(F.col("pos").isNotNull())
 
 
@@ -46,7 +57,8 @@ def outimages(pages: DataFrame) -> DataFrame:
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    return outlinks(pages).unionByName(outimages(pages))
+    """All edges of a page. Store them when more than one step reads them."""
+    return _edges(pages, "link", "image")
 
 
 @lru_cache
@@ -106,7 +118,7 @@ def with_broken_links(pages: DataFrame, link_status: DataFrame | None) -> DataFr
     empty = F.array().cast("array<struct<url:string,status:int,error:string>>")
     if link_status is None:
         return pages.withColumns({"broken_links_count": F.lit(0), "broken_links": empty, "broken_images": empty})
-    edges = link_edges(pages.where("usable"))
+    edges = materialize(link_edges(pages.where("usable")))
     joined = pages.join(broken_rollup(broken_links(edges, link_status)), ["site", "url"], "left")
     usable = F.col("usable")
     return joined.withColumns(

@@ -49,18 +49,22 @@ def fetched(df: DataFrame) -> DataFrame:
     return df.where("usable")
 
 
-def statuses(pages: DataFrame) -> DataFrame:
-    """Check results for all link targets of the stored pages."""
-    return fixtures.link_status(links.links_to_check(links.link_edges(fetched(pages))))
+def statuses(edges: DataFrame) -> DataFrame:
+    """Check results for all link targets."""
+    return fixtures.link_status(links.links_to_check(edges))
 
 
 def stored_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_facts(spark, sf_dir, "error", "hrefs", "image_sources")
 
 
+def stored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(links.link_edges(fetched(stored_links(spark, sf_dir))))
+
+
 def full_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit with link checks, over the stored page table."""
-    status = materialize(statuses(stored_links(spark, sf_dir)))
+    status = materialize(statuses(stored_edges(spark, sf_dir)))
     return materialize(plan.site_audit(fixtures.crawl(spark, sf_dir), status))
 
 
@@ -270,14 +274,14 @@ def outimages(spark, sf_dir):
 
 @query
 def links_to_check(spark, sf_dir):
-    pages = stored_links(spark, sf_dir)
-    return links.links_to_check(links.link_edges(fetched(pages)), statuses(pages))
+    edges = stored_edges(spark, sf_dir)
+    return links.links_to_check(edges, statuses(edges))
 
 
 @query
 def broken_links(spark, sf_dir):
-    pages = stored_links(spark, sf_dir)
-    broken = links.broken_links(links.link_edges(fetched(pages)), statuses(pages))
+    edges = stored_edges(spark, sf_dir)
+    broken = links.broken_links(edges, statuses(edges))
     return broken.select("site", "url", "kind", "pos", "target", "status", "error")
 
 
@@ -288,7 +292,7 @@ def entries(column: str) -> Column:
 @query
 def broken_rollup(spark, sf_dir):
     pages = stored_links(spark, sf_dir)
-    checked = links.with_broken_links(pages, statuses(pages))
+    checked = links.with_broken_links(pages, statuses(materialize(links.link_edges(fetched(pages)))))
     return checked.select(
         "site",
         "url",
@@ -404,7 +408,7 @@ def seo_score(spark, sf_dir):
 @query
 def score_with_links(spark, sf_dir):
     """The score when broken links are deducted as well."""
-    status = materialize(statuses(stored_links(spark, sf_dir)))
+    status = materialize(statuses(stored_edges(spark, sf_dir)))
     audit = plan.site_audit(fixtures.crawl(spark, sf_dir), status, score_broken_links=True)
     return audit.select("site", "url", "broken_links_count", "score", "grade", "score_technical")
 
