@@ -109,7 +109,7 @@ def broken_rollup(broken: DataFrame) -> DataFrame:
     )
 
 
-def with_broken_links(pages: DataFrame, link_status: DataFrame | None) -> DataFrame:
+def with_broken_links(pages: DataFrame, link_status: DataFrame | None, edges: DataFrame | None = None) -> DataFrame:
     """Add the broken-link count and lists.
 
     Fetched pages get 0 when nothing is broken, failed pages stay null. Without statuses (the checks
@@ -118,7 +118,7 @@ def with_broken_links(pages: DataFrame, link_status: DataFrame | None) -> DataFr
     empty = F.array().cast("array<struct<url:string,status:int,error:string>>")
     if link_status is None:
         return pages.withColumns({"broken_links_count": F.lit(0), "broken_links": empty, "broken_images": empty})
-    edges = materialize(link_edges(pages.where("usable")))
+    edges = materialize(link_edges(pages.where("usable"))) if edges is None else edges
     joined = pages.join(broken_rollup(broken_links(edges, link_status)), ["site", "url"], "left")
     usable = F.col("usable")
     return joined.withColumns(

@@ -14,8 +14,7 @@ from webgauge.operators.site import duplicate_pages
 from webgauge.session import materialize, spread
 
 # Working columns that are not part of the audit.
-_INTERNAL = ("hrefs", "image_sources", "canonical_target", "canonical_self", "keyword_counts", "main_text",
-             "sentence_count", "syllable_count", "page_issues", "title_pages", "description_pages")
+_INTERNAL = ("hrefs", "image_sources", "canonical_target", "canonical_self", "page_issues", "title_pages", "description_pages")
 
 
 def page_metrics(crawl: DataFrame, strict_links: bool = False, target_keyword: str | None = None) -> DataFrame:
@@ -29,7 +28,8 @@ def page_table(crawl: DataFrame, **options) -> DataFrame:
     This is where HTML ends. Filters, explodes and joins belong behind it: in front of it the optimizer
     would push a filter on a derived column below the parse and evaluate the parse twice.
     """
-    return materialize(page_metrics(spread(crawl), **options))
+    metrics = page_metrics(spread(crawl), **options)
+    return materialize(metrics.drop("main_text", "keyword_counts", "sentence_count", "syllable_count"))
 
 
 def page_audit(crawl: DataFrame, **options) -> DataFrame:
@@ -37,26 +37,32 @@ def page_audit(crawl: DataFrame, **options) -> DataFrame:
     return seo_score(page_metrics(crawl, **options)).withColumn("page_issues", page_issues())
 
 
-def site_audit(
-    crawl: DataFrame,
+def audit_pages(
+    pages: DataFrame,
     link_status: DataFrame | None = None,
+    edges: DataFrame | None = None,
     score_broken_links: bool = False,
-    **options,
 ) -> DataFrame:
-    """The whole audit. Without ``link_status`` the link check is skipped.
+    """The audit over a stored page table. Without ``link_status`` the link check is skipped.
 
-    The HTML is read once: a narrow page table is stored, and each later step reads only the columns it
-    needs from it. Duplicates and broken links travel as short rows and meet the page rows on the page
-    key, so those are shuffled once; issues and scores are derived behind that shuffle.
+    Each step reads only the columns it needs. Duplicates and broken links travel as short rows and meet
+    the page rows on the page key, so those are shuffled once; issues and scores are derived behind that
+    shuffle. ``edges`` are the stored link edges, if there already are some.
     """
-    pages = materialize(page_metrics(spread(crawl), **options).drop("main_text", "keyword_counts"))
-    checked = with_broken_links(pages, link_status)
+    checked = with_broken_links(pages, link_status, edges)
     for column, name in (("title", "title_pages"), ("meta_description", "description_pages")):
         checked = checked.join(duplicate_pages(pages, column, name), ["site", "url"], "left")
     scored = seo_score(checked, broken="broken_links_count" if score_broken_links else None)
     return finish(scored.withColumn("page_issues", page_issues()))
 
 
+def site_audit(
+    crawl: DataFrame, link_status: DataFrame | None = None, score_broken_links: bool = False, **options
+) -> DataFrame:
+    """The whole audit from a crawl. The HTML is read once, into the stored page table."""
+    return audit_pages(page_table(crawl, **options), link_status, score_broken_links=score_broken_links)
+
+
 def finish(pages: DataFrame) -> DataFrame:
     """Put cross-page issues behind the page's own and derive the status."""
     shared = fired(

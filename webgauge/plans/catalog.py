@@ -62,10 +62,12 @@ def stored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(links.link_edges(fetched(stored_links(spark, sf_dir))))
 
 
-def full_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit with link checks, over the stored page table."""
-    status = materialize(statuses(stored_edges(spark, sf_dir)))
-    return materialize(plan.site_audit(fixtures.crawl(spark, sf_dir), status))
+def full_audit(spark: SparkSession, sf_dir: str, score_broken_links: bool = False) -> DataFrame:
+    """The stored audit: page table, link edges, their check results, then the cross-page part."""
+    pages = plan.page_table(fixtures.crawl(spark, sf_dir))
+    edges = materialize(links.link_edges(fetched(pages)))
+    status = materialize(statuses(edges))
+    return materialize(plan.audit_pages(pages, status, edges, score_broken_links))
 
 
 def joined(texts: Column, separator: str = "|") -> Column:
@@ -292,7 +294,8 @@ def entries(column: str) -> Column:
 @query
 def broken_rollup(spark, sf_dir):
     pages = stored_links(spark, sf_dir)
-    checked = links.with_broken_links(pages, statuses(materialize(links.link_edges(fetched(pages)))))
+    edges = materialize(links.link_edges(fetched(pages)))
+    checked = links.with_broken_links(pages, statuses(edges), edges)
     return checked.select(
         "site",
         "url",
@@ -408,8 +411,7 @@ def seo_score(spark, sf_dir):
 @query
 def score_with_links(spark, sf_dir):
     """The score when broken links are deducted as well."""
-    status = materialize(statuses(stored_edges(spark, sf_dir)))
-    audit = plan.site_audit(fixtures.crawl(spark, sf_dir), status, score_broken_links=True)
+    audit = full_audit(spark, sf_dir, score_broken_links=True)
     return audit.select("site", "url", "broken_links_count", "score", "grade", "score_technical")
 
 
