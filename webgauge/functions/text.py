@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 WS = r"\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 
+# The same characters one by one.
+WS_CHARS = "".join(
+    map(chr, (9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
+)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it many times in ``body``.
 
@@ -26,6 +32,14 @@ def trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
 
 
+def plain_spaces(c: Column, removed: str = "") -> Column:
+    """Every white-space character as a blank, and the ``removed`` ones gone.
+
+    Splitting on single blanks is several times faster than on the full white-space class.
+    """
+    return F.translate(c, WS_CHARS + removed, " " * len(WS_CHARS))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 

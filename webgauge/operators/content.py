@@ -8,29 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webgauge.functions.html import HEADINGS, text_of
-from webgauge.functions.text import WS, count_of, let, round_half_up, utf16_length
+from webgauge.functions.text import count_of, let, plain_spaces, round_half_up, utf16_length
 
 THIN_CONTENT_WORDS = 300
 TOP_KEYWORDS = 10
 
 
-def word_list(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"[^{WS}]+"), F.lit(0))
+# ASCII punctuation, removed before the regex that removes all other characters.
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 
 
-def sentence_count(text: Column) -> Column:
+def word_list(plain: Column) -> Column:
+    """Words of a text whose white space is blanks only."""
+    return F.filter(F.split(plain, " "), lambda w: w != "")
+
+
+def sentence_count(plain: Column) -> Column:
     """Stretches between sentence marks that hold more than white space."""
-    return count_of(text, f"[^.!?{WS}][^.!?]*")
+    return count_of(plain, "[^.!? ][^.!?]*+")
 
 
-def syllable_count(text: Column) -> Column:
+def syllable_count(lower: Column) -> Column:
     """Vowel groups, and one for each word without any."""
-    lower = F.lower(text)
-    silent = f"(?<![^{WS}])[^aeiouy{WS}]++(?![^{WS}])"
-    return count_of(lower, "[aeiouy]+") + count_of(lower, silent)
+    return count_of(lower, "[aeiouy]++") + count_of(lower, "(?<![^ ])[^ aeiouy]++(?![^ ])")
 
 
-def keyword_counts(text: Column, unicode: bool = False) -> Column:
+def keyword_counts(lower: Column, unicode: bool = False) -> Column:
     """``array<struct<word, count, first>>`` of words longer than two characters, unordered.
 
     Words are lower case without anything but ASCII letters, digits and ``_`` (``unicode`` keeps all
@@ -38,8 +41,8 @@ def keyword_counts(text: Column, unicode: bool = False) -> Column:
     run starts: n log n per text, whatever its vocabulary.
     """
     kept = r"\p{L}\p{N}_" if unicode else "a-z0-9_"
-    bare = F.regexp_replace(F.lower(text), f"[^{kept}{WS}]+", "")
-    words = F.filter(word_list(bare), lambda w: F.length(w) > 2)
+    bare = F.regexp_replace(plain_spaces(lower, _PUNCTUATION), f"[^{kept} ]++", "")
+    words = F.filter(F.split(bare, " "), lambda w: F.length(w) > 2)
     placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
 
     def run_starts(ws: Column) -> Column:
@@ -82,18 +85,24 @@ def top_keywords(counts: Column, words: Column, n: int = TOP_KEYWORDS) -> Column
     return F.transform(F.slice(F.sort_array(F.transform(counts, sort_key)), 1, n), entry)
 
 
+@lru_cache
+def _plain(name: str) -> dict[str, Column]:
+    plain = plain_spaces(F.col(name))
+    return {"_plain": plain, "_lower": F.lower(plain)}
+
+
 @lru_cache
 def _counted(name: str, target_keyword: str | None) -> list[Column]:
-    text = F.col(name)
+    plain, lower = F.col("_plain"), F.col("_lower")
     columns = [
-        F.size(word_list(text)).alias("word_count"),
-        utf16_length(text).alias("character_count"),
-        sentence_count(text).alias("sentence_count"),
-        syllable_count(text).alias("syllable_count"),
-        keyword_counts(text).alias("keyword_counts"),
+        F.size(word_list(plain)).alias("word_count"),
+        utf16_length(F.col(name)).alias("character_count"),
+        sentence_count(plain).alias("sentence_count"),
+        syllable_count(lower).alias("syllable_count"),
+        keyword_counts(lower).alias("keyword_counts"),
     ]
     if target_keyword:
-        hits = F.filter(word_list(F.lower(text)), lambda w: F.contains(w, F.lit(target_keyword.lower())))
+        hits = F.filter(word_list(lower), lambda w: F.contains(w, F.lit(target_keyword.lower())))
         columns.append(F.size(hits).alias("target_count"))
     return columns
 
@@ -125,7 +134,7 @@ def _best_keywords() -> Column:
 
 def with_text_metrics(df: DataFrame, text: str, target_keyword: str | None = None) -> DataFrame:
     """Add all metrics of the text column; null text gives null metrics."""
-    counted = df.select("*", *_counted(text, target_keyword))
+    counted = df.withColumns(_plain(text)).select("*", *_counted(text, target_keyword)).drop("_plain", "_lower")
     return counted.withColumn("top_keywords", _best_keywords()).withColumns(_measured(text, target_keyword))
 
 

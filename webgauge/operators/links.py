@@ -144,10 +144,9 @@ def redirect_chains(starts: DataFrame, hops: DataFrame, max_redirects: int = MAX
         step = F.array(F.struct(F.col("current").alias("url"), F.col("status").cast("int").alias("status")))
         moves = F.col("status").between(300, 399) & (F.col("location") != "")
         target = F.when(moves, join_url(F.col("location"), F.col("current")))
-        answered = lookup_join(moving, answers, "current")
-        grown = materialize(answered.select("url", target.alias("current"), F.concat("chain", step).alias("chain")))
-        unknown = moving.join(grown.select("url"), "url", "left_anti")
-        done = done.unionByName(unknown.select("url", "chain"))
+        chain = F.when(F.col("status").isNull(), F.col("chain")).otherwise(F.concat("chain", step))
+        answered = lookup_join(moving, answers, "current", "left")
+        grown = materialize(answered.select("url", target.alias("current"), chain.alias("chain")))
         done = done.unionByName(grown.where(F.col("current").isNull()).select("url", "chain"))
         moving = grown.where(F.col("current").isNotNull())
         if moving.isEmpty():

@@ -19,28 +19,31 @@ def key_of(*parts: str) -> Column:
     return F.when(present, F.concat_ws("\u0001", *parts))
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
+def hot_keys(df: DataFrame, key: str) -> list[str]:
     """Every key with more than ``HOT_SHARE`` of the rows, and never more than ``1 / HOT_SHARE`` keys.
 
-    ``freqItems`` guarantees both; it may add cooler keys, which only changes how those are joined.
+    ``freqItems`` guarantees both in one pass without a shuffle of the keys; it may add cooler keys,
+    which only changes how those are joined.
     """
-    items = df.where(F.col(key).isNotNull()).select(key).stat.freqItems([key], HOT_SHARE)
-    return items.select(F.explode(f"{key}_freqItems").alias(key))
+    row = df.where(F.col(key).isNotNull()).select(key).stat.freqItems([key], HOT_SHARE).first()
+    return list(row[0])
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Inner join of ``left`` with a table that is unique on ``key``.
+def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``left`` with a table that is unique on ``key``; left keys are not null.
 
     Rows with a hot key are answered by a broadcast of at most ``1 / HOT_SHARE`` rows; all others meet
     in the shuffle, where no key has more than ``HOT_SHARE`` of the rows left. ``left`` is evaluated
     twice, so it should be cheap to derive from a stored table.
     """
-    values = [c for c in right.columns if c != key]
+    columns = [*left.columns, *[c for c in right.columns if c != key]]
     hot = hot_keys(left, key)
-    answers = right.join(F.broadcast(hot), key, "left_semi")
-    of_hot = left.join(F.broadcast(answers), key)
-    of_rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key)
-    return of_hot.unionByName(of_rest).select(*left.columns, *values)
+    if not hot:
+        return left.join(right, key, how).select(*columns)
+    is_hot = F.col(key).isin(hot)
+    of_hot = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how)
+    of_rest = left.where(~is_hot).join(right.where(~is_hot), key, how)
+    return of_hot.select(*columns).unionByName(of_rest.select(*columns))
 
 
 def ranked(df: DataFrame, order: list[Column], group: str | None = None, name: str = "rank") -> DataFrame:
