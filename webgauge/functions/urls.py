@@ -10,7 +10,11 @@ from webgauge.functions.text import blank_to_null, let
 # Special schemes of the URL standard and their default ports.
 DEFAULT_PORTS = {"http": "80", "https": "443", "ftp": "21", "ws": "80", "wss": "443"}
 _SPECIAL = "|".join(DEFAULT_PORTS)
-_PARTS = rf"(?is)^({_SPECIAL}):[/\\]*+([^/\\?#]*+)([^?#]*+)(\?[^#]*+)?+(#.*)?+$"
+# Groups: scheme, credentials, host, port, path, query, fragment. A host with a forbidden character does not match.
+_PARTS = (
+    rf"(?is)^({_SPECIAL}):[/\\]*+((?:[^/\\?#]*@)?)(\[[0-9a-f:.]+\]|[^\x00-\x20#<>^|%\\\[\]:/?@]+)"
+    r"(?::0*+([0-9]{0,5}))?(?=[/\\?#]|$)([^?#]*+)(\?[^#]*+)?+(#.*)?+$"
+)
 # Characters that the standard percent-encodes in a path or query.
 _ENCODED = r"""[^\x21-\x7E]|["<>`{}]"""
 
@@ -21,31 +25,24 @@ def is_http(url: Column) -> Column:
 
 def split_url(url: Column) -> Column:
     """``struct<scheme, creds, host, port, path, query, fragment>`` of an absolute special URL, else null."""
-    authority = F.regexp_extract(url, _PARTS, 2)
-    scheme = F.lower(F.regexp_extract(url, _PARTS, 1))
-    host_port = F.regexp_replace(authority, "^.*@", "")
-    host = F.lower(F.regexp_extract(host_port, r"^(\[[^\]]*\]|[^:]*)", 1))
-    port = F.regexp_replace(F.regexp_extract(host_port, r"^(?:\[[^\]]*\]|[^:]*)(?::(.*))?$", 1), "^0+(?=[0-9])", "")
-    default = F.coalesce(*[F.when(scheme == s, F.lit(p)) for s, p in DEFAULT_PORTS.items()])
-    valid = (
-        url.rlike(_PARTS)
-        & (host != "")
-        & ~host.rlike(r"[\x00-\x20#<>^|%\\]|^[^\[].*[\[\]]")
-        & port.rlike("^[0-9]{0,5}$")
-        & (F.coalesce(port.try_cast("int"), F.lit(0)) <= 65535)
-    )
-    return F.when(
-        valid,
-        F.struct(
-            scheme.alias("scheme"),
-            F.regexp_extract(authority, "^(.*@)?", 0).alias("creds"),
-            host.alias("host"),
-            F.when(port == default, "").otherwise(port).alias("port"),
-            F.regexp_extract(url, _PARTS, 3).alias("path"),
-            F.regexp_extract(url, _PARTS, 4).alias("query"),
-            F.regexp_extract(url, _PARTS, 5).alias("fragment"),
-        ),
+
+    def part(group: int) -> Column:
+        return F.regexp_extract(url, _PARTS, group)
+
+    def port(scheme: Column) -> Column:
+        default = F.coalesce(*[F.when(scheme == s, F.lit(p)) for s, p in DEFAULT_PORTS.items()])
+        return F.when(part(4) == default, "").otherwise(part(4))
+
+    fields = F.struct(
+        F.lower(part(1)).alias("scheme"),
+        part(2).alias("creds"),
+        F.lower(part(3)).alias("host"),
+        port(F.lower(part(1))).alias("port"),
+        part(5).alias("path"),
+        part(6).alias("query"),
+        part(7).alias("fragment"),
     )
+    return F.when(url.rlike(_PARTS) & (F.coalesce(part(4).try_cast("int"), F.lit(0)) <= 65535), fields)
 
 
 def host_of(url: Column) -> Column:
@@ -101,7 +98,7 @@ def normalize(url: Column) -> Column:
             p["scheme"], F.lit("://"), _authority(p), percent_encode(clean_path(p["path"])), percent_encode(tail)
         )
 
-    return let(split_url(url), join)
+    return let(url, lambda text: let(split_url(text), join))
 
 
 def join_url(reference: Column, base: Column) -> Column:
@@ -110,21 +107,21 @@ def join_url(reference: Column, base: Column) -> Column:
     def resolve(ref: Column, p: Column) -> Column:
         stem = F.concat(p["scheme"], F.lit("://"), _authority(p))
         path = F.when(p["path"] == "", "/").otherwise(p["path"])
-        absolute = (
-            F.when(ref.rlike(r"^[/\\]{2}"), F.concat(p["scheme"], F.lit(":"), ref))
+        return (
+            F.when(ref.rlike(rf"(?i)^(?:{_SPECIAL}):"), ref)
+            .when(ref.rlike(r"^[/\\]{2}"), F.concat(p["scheme"], F.lit(":"), ref))
             .when(ref.rlike(r"^[/\\]"), F.concat(stem, ref))
             .when(ref.startswith("?"), F.concat(stem, path, ref))
             .when((ref == "") | ref.startswith("#"), F.concat(stem, path, p["query"], ref))
             .otherwise(F.concat(stem, F.regexp_replace(path, r"[^/\\]*$", ""), ref))
         )
-        return (
-            F.when(ref.rlike(rf"(?i)^(?:{_SPECIAL}):"), normalize(ref))
-            .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
-            .otherwise(normalize(absolute))
-        )
+
+    def opaque(ref: Column) -> Column:
+        return ref.rlike(rf"^(?i)(?!(?:{_SPECIAL}):)[a-z][a-z0-9+.-]*:")
 
     stripped = F.regexp_replace(F.regexp_replace(reference, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
-    return let(F.struct(stripped.alias("ref"), split_url(base).alias("base")), lambda x: resolve(x["ref"], x["base"]))
+    pair = F.struct(stripped.alias("ref"), split_url(base).alias("base"))
+    return let(pair, lambda x: F.when(opaque(x["ref"]), x["ref"]).otherwise(normalize(resolve(x["ref"], x["base"]))))
 
 
 def resolve_link(href: Column, page_url: Column, page_parts: Column) -> Column:

@@ -130,6 +130,12 @@ def with_broken_links(pages: DataFrame, link_status: DataFrame | None, edges: Da
     )
 
 
+@lru_cache
+def _next_url() -> Column:
+    moves = F.col("status").between(300, 399) & (F.col("location") != "")
+    return F.when(moves, join_url(F.col("location"), F.col("current")))
+
+
 def redirect_chains(starts: DataFrame, hops: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:
     """Follow each ``url`` of ``starts`` through ``hops`` for at most ``max_redirects`` answers.
 
@@ -142,11 +148,9 @@ def redirect_chains(starts: DataFrame, hops: DataFrame, max_redirects: int = MAX
     answers = hops.select(F.col("url").alias("current"), "status", "location")
     for _ in range(max_redirects):
         step = F.array(F.struct(F.col("current").alias("url"), F.col("status").cast("int").alias("status")))
-        moves = F.col("status").between(300, 399) & (F.col("location") != "")
-        target = F.when(moves, join_url(F.col("location"), F.col("current")))
         chain = F.when(F.col("status").isNull(), F.col("chain")).otherwise(F.concat("chain", step))
         answered = lookup_join(moving, answers, "current", "left")
-        grown = materialize(answered.select("url", target.alias("current"), chain.alias("chain")))
+        grown = materialize(answered.select("url", _next_url().alias("current"), chain.alias("chain")))
         done = done.unionByName(grown.where(F.col("current").isNull()).select("url", "chain"))
         moving = grown.where(F.col("current").isNotNull())
         if moving.isEmpty():
