@@ -33,15 +33,15 @@ HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 SIDE_ELEMENTS = ("nav", "footer", "header", "aside")
 SIDE_CLASSES = ("nav", "menu", "footer", "header")
 
-_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
-_TAG_REST = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^\s>"'][^\s>]*+)?+|["'])*+"""
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+_TAG_REST = r"""(?:[^>"'=]+|=\s*(?:"[^"]*(?:"|\z)|'[^']*(?:'|\z)|[^\s>"'][^\s>]*)?+|["'])*+"""
 _BODIED = "|".join(RAW_TEXT + ESCAPABLE_TEXT)
 _NODE = (
     r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))"
     rf"|<({_BODIED})(?=[\s/>]){_TAG_REST}>.*?(?=</\1[\s/>]|\z)"
-    r"|<[!?][^>]*+(?:>|\z)|</(?![a-z])[^>]*+(?:>|\z)"
+    r"|<[!?][^>]*(?:>|\z)|</(?![a-z])[^>]*(?:>|\z)"
     rf"|</?[a-z]{_TAG_REST}(?:>|\z)"
-    r"|[^<]++|<"
+    r"|[^<]+|<"
 )
 _OPENING = rf"(?is)^<[a-z]{_TAG_REST}>"
 

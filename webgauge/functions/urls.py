@@ -42,7 +42,8 @@ def split_url(url: Column) -> Column:
         part(6).alias("query"),
         part(7).alias("fragment"),
     )
-    return F.when(url.rlike(_PARTS) & (F.coalesce(part(4).try_cast("int"), F.lit(0)) <= 65535), fields)
+    in_range = F.when(part(4) != "", part(4).cast("int") <= 65535).otherwise(True)
+    return F.when(url.rlike(_PARTS) & in_range, fields)
 
 
 def host_of(url: Column) -> Column:

@@ -25,12 +25,13 @@ def word_list(plain: Column) -> Column:
 
 def sentence_count(plain: Column) -> Column:
     """Stretches between sentence marks that hold more than white space."""
-    return count_of(plain, "[^.!? ][^.!?]*+")
+    return count_of(plain, "[^.!? ][^.!?]*")
 
 
 def syllable_count(lower: Column) -> Column:
-    """Vowel groups, and one for each word without any."""
-    return count_of(lower, "[aeiouy]++") + count_of(lower, "(?<![^ ])[^ aeiouy]++(?![^ ])")
+    """Vowel groups, and one for each word without any: all words less those that match from a vowel on."""
+    silent = count_of(lower, "[^ ]+") - count_of(lower, "[aeiouy][^ ]*")
+    return count_of(lower, "[aeiouy]+") + silent
 
 
 def keyword_counts(lower: Column, unicode: bool = False) -> Column:
@@ -41,7 +42,7 @@ def keyword_counts(lower: Column, unicode: bool = False) -> Column:
     run starts: n log n per text, whatever its vocabulary.
     """
     kept = r"\p{L}\p{N}_" if unicode else "a-z0-9_"
-    bare = F.regexp_replace(plain_spaces(lower, _PUNCTUATION), f"[^{kept} ]++", "")
+    bare = F.regexp_replace(plain_spaces(lower, _PUNCTUATION), f"[^{kept} ]+", "")
     words = F.filter(F.split(bare, " "), lambda w: F.length(w) > 2)
     placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
 
