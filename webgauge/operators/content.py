@@ -83,7 +83,13 @@ def top_keywords(counts: Column, words: Column, n: int = TOP_KEYWORDS) -> Column
         count = -k["rank"]
         return F.struct(k["word"].alias("word"), count.alias("count"), (count / words * 100).alias("density"))
 
-    return F.transform(F.slice(F.sort_array(F.transform(counts, sort_key)), 1, n), entry)
+    def best(all_counts: Column) -> Column:
+        # Only words that reach the n-th highest count are ranked; all ties stay in.
+        bound = F.coalesce(F.get(F.sort_array(all_counts["count"], asc=False), F.lit(n - 1)), F.lit(0))
+        reached = let(bound, lambda b: F.filter(all_counts, lambda k: k["count"] >= b))
+        return F.slice(F.sort_array(F.transform(reached, sort_key)), 1, n)
+
+    return F.transform(let(counts, best), entry)
 
 
 @lru_cache
