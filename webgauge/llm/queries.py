@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webgauge.llm import decontaminate
+from webgauge.llm import decontaminate, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "match.n_words", "match.n_hit", "match.n_items", "match.items_sha256", "match.contaminated", "match.longest")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
     "op6_decontamination": op6_decontamination,
+    "op9_secret_scan": op9_secret_scan,
 }
