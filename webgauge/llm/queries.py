@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from webgauge.llm import decontaminate, secrets
+from webgauge.llm import decontaminate, secrets, sharding
+
+SHARDS = 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +20,26 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "match.n_words", "match.n_hit", "match.n_items", "match.items_sha256", "match.contaminated", "match.longest")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return dealt.select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 QUERIES = {
     "op6_decontamination": op6_decontamination,
+    "op8_sharding": op8_sharding,
     "op9_secret_scan": op9_secret_scan,
 }
