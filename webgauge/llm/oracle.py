@@ -2,4 +2,34 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+MIX_SOURCES = """
+WITH RECURSIVE sizes AS (
+    SELECT source, sum(coalesce(strlen(text), 0) + 1)::DOUBLE AS size FROM documents GROUP BY source
+), rated AS (
+    SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM sizes)::DOUBLE * (SELECT sum(size) FROM sizes) / size AS rate FROM sizes
+), parted AS (
+    SELECT source, greatest(ceil(rate / 64), 1)::INT AS parts, rate / greatest(ceil(rate / 64), 1) AS mean FROM rated
+), steps AS (
+    SELECT source, parts, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM parted
+    UNION ALL
+    SELECT source, parts, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM steps
+    WHERE k < floor(mean + sqrt(mean) * 12 + 30)
+), distribution AS (
+    SELECT source, any_value(parts) AS parts, list(c ORDER BY k) AS below FROM steps GROUP BY source
+), keyed AS (
+    SELECT d.*, md5(concat_ws('|', '0', d.doc_id::VARCHAR, d.text)) AS key, t.parts, t.below
+    FROM documents d JOIN distribution t ON d.source IS NOT DISTINCT FROM t.source
+), drawn AS (
+    SELECT *, list_sum(list_transform(range(1, parts + 1), lambda j: len(list_filter(below, lambda b:
+        b <= ('0x' || md5(concat_ws('|', key, j::VARCHAR))[1:13])::BIGINT::DOUBLE / 4503599627370496)))) ::INT AS n_copies
+    FROM keyed
+), exploded AS (
+    SELECT *, unnest(range(n_copies))::INT AS copy FROM drawn
+)
+SELECT doc_id, text, lang, source, n_chars, n_copies, copy, md5(concat_ws('|', key, 'copy', copy::VARCHAR)) AS place
+FROM exploded
+"""
+
+ORACLE: dict[str, str] = {
+    "op4_mix_sources": MIX_SOURCES,
+}
