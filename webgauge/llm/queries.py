@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgauge.llm import decontaminate, mixing, secrets, sharding
+from webgauge.llm import decontaminate, mixing, secrets, sharding, token_files
 
 SHARDS = 24
 
@@ -24,6 +24,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "match.n_words", "match.n_hit", "match.n_items", "match.items_sha256", "match.contaminated", "match.longest")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = token_files.new_folder(spark)
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.checksums(token_files.read_tokens(spark, folder))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -45,6 +53,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op6_decontamination": op6_decontamination,
+    "op7_token_files": op7_token_files,
     "op8_sharding": op8_sharding,
     "op9_secret_scan": op9_secret_scan,
 }
