@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgauge.llm import decontaminate, mixing, secrets, sharding, token_files
+from webgauge.llm import decontaminate, jaccard, mixing, secrets, sharding, token_files
 
 SHARDS = 24
 
@@ -50,10 +50,15 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op6_decontamination": op6_decontamination,
     "op7_token_files": op7_token_files,
     "op8_sharding": op8_sharding,
     "op9_secret_scan": op9_secret_scan,
+    "op10_jaccard_join": op10_jaccard_join,
 }
