@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgauge.llm import decontaminate, jaccard, mixing, quality, secrets, sharding, token_files
+from webgauge.llm import decontaminate, jaccard, mixing, quality, secrets, sharding, token_files, toxicity
 
 SHARDS = 24
 
@@ -22,6 +22,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), details=True)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_matches(docs, table(spark, sf_dir, "benchmark"))
@@ -61,6 +65,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_discriminant": op1_quality_discriminant,
     "op4_mix_sources": op4_mix_sources,
+    "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_token_files": op7_token_files,
     "op8_sharding": op8_sharding,
