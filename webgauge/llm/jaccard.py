@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from webgauge.llm.arrays import Words, mix, slices
 from webgauge.llm.components import connected
+from webgauge.llm.units import root_of, to_batch, units
 from webgauge.session import materialize
 
 SHINGLE = 5
@@ -176,25 +177,6 @@ class _Unit:
                 yield np.stack([i, j])
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each unit together; a unit may run over several batches, but is bounded."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "p", "q")])
-        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        edges = [0, *cuts.tolist(), batch.num_rows]
-        for s, e in zip(edges[:-1], edges[1:]):
-            part = batch.slice(s, e - s)
-            if held and any(held[0].column(c)[0] != part.column(c)[0] for c in ("bucket", "p", "q")):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(part)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _unit(table: pa.Table) -> _Unit:
     raw = b"".join(table.column("signature").to_pylist())
     signature = np.frombuffer(raw, dtype=np.uint32).reshape(table.num_rows, HASHES)
@@ -204,7 +186,7 @@ def _unit(table: pa.Table) -> _Unit:
 def _prune(batches: Iterator[pa.RecordBatch], least: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
     """(bucket, p, q, class, side) of the rows that have a pair left."""
     out: list[tuple] = []
-    for table in _units(batches):
+    for table in units(batches):
         bucket, p, q = (table.column(c)[0].as_py() for c in ("bucket", "p", "q"))
         unit, left = _unit(table), np.zeros(table.num_rows, dtype=bool)
         for pair in unit.pairs(bucket, p != q, least, threshold):
@@ -212,24 +194,20 @@ def _prune(batches: Iterator[pa.RecordBatch], least: np.ndarray, threshold: floa
         rows = np.flatnonzero(left)
         out += zip([bucket] * len(rows), [p] * len(rows), [q] * len(rows), unit.classes[rows].tolist(), unit.side[rows].tolist())
         if len(out) >= 5000:
-            yield _rows(out, UNIT_ROW)
+            yield to_batch(out, UNIT_ROW)
             out = []
     if out:
-        yield _rows(out, UNIT_ROW)
+        yield to_batch(out, UNIT_ROW)
 
 
 UNIT_ROW = [("bucket", pa.int64()), ("p", pa.int32()), ("q", pa.int32()), ("class", pa.int64()), ("side", pa.int32())]
 LINK_ROW = [("class", pa.int64()), ("links", pa.int64()), ("other", pa.int64())]
 
 
-def _rows(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], [n for n, _ in kinds])
-
-
 def _verify(batches: Iterator[pa.RecordBatch], size: int, least: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
     """(class, links, other): documents linked to a class in this unit, and an edge of the spanning forest."""
     out: list[tuple] = []
-    for table in _units(batches):
+    for table in units(batches):
         bucket, p, q = (table.column(c)[0].as_py() for c in ("bucket", "p", "q"))
         # Repeated rows fetch the text of a class more than once.
         classes = table.column("class").to_numpy()
@@ -244,22 +222,15 @@ def _verify(batches: Iterator[pa.RecordBatch], size: int, least: np.ndarray, thr
                 links[i] += unit.copies[others].sum()
                 links[others] += unit.copies[i]
                 for j in others.tolist():
-                    a, b = _root(root, i), _root(root, j)
+                    a, b = root_of(root, i), root_of(root, j)
                     root[max(a, b)] = min(a, b)
         for k in np.flatnonzero(links).tolist():
-            out.append((int(unit.classes[k]), int(links[k]), int(unit.classes[_root(root, k)])))
+            out.append((int(unit.classes[k]), int(links[k]), int(unit.classes[root_of(root, k)])))
         if len(out) >= 5000:
-            yield _rows(out, LINK_ROW)
+            yield to_batch(out, LINK_ROW)
             out = []
     if out:
-        yield _rows(out, LINK_ROW)
-
-
-def _root(root: list[int], k: int) -> int:
-    while root[k] != k:
-        root[k] = root[root[k]]
-        k = root[k]
-    return k
+        yield to_batch(out, LINK_ROW)
 
 
 def exact(pair: np.ndarray, sets: list[np.ndarray], threshold: float) -> Iterator[tuple[int, np.ndarray]]:

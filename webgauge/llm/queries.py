@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgauge.llm import decontaminate, jaccard, mixing, quality, secrets, sharding, token_files, toxicity
+from webgauge.llm import decontaminate, jaccard, lattice, mixing, quality, secrets, sharding, token_files, toxicity
 
 SHARDS = 24
 
@@ -18,6 +18,10 @@ def op1_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), details=True)
 
@@ -64,6 +68,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_discriminant": op1_quality_discriminant,
+    "op2_lattice_dedup": op2_lattice_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
