@@ -30,6 +30,30 @@ SELECT doc_id, text, lang, source, n_chars, n_copies, copy, md5(concat_ws('|', k
 FROM exploded
 """
 
+URL_FILTER = r"""
+WITH rests AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests
+), canon AS (
+    SELECT *, regexp_replace(host, '^(?:www|m)\.', '') || regexp_replace(path, '(?:/index)?(?:\.html?)?/*$', '') AS canonical FROM parts
+), listed AS (
+    SELECT DISTINCT canonical FROM canon
+    WHERE regexp_extract(host, '(?:^|\.)([^.]+)\.[^.]+\.[^.]+$', 1) IN ('spam-farm', 'cheap-pills', 'casino-win', 'free-bets', 'ads-track', 'adult-x')
+), rules(host, path, verdict) AS (
+    VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM (
+    SELECT c.page_id, c.host, c.path, c.canonical IN (SELECT canonical FROM listed) AS listed,
+        (SELECT max_by(r.host || r.path, length(r.host || r.path)) FROM rules r
+            WHERE (c.host = r.host OR ends_with(c.host, '.' || r.host)) AND starts_with(c.path, r.path)) AS rule,
+        (SELECT max_by(r.verdict, length(r.host || r.path)) FROM rules r
+            WHERE (c.host = r.host OR ends_with(c.host, '.' || r.host)) AND starts_with(c.path, r.path)) AS verdict
+    FROM canon c)
+"""
+
 ORACLE: dict[str, str] = {
+    "op3_url_filter": URL_FILTER,
     "op4_mix_sources": MIX_SOURCES,
 }

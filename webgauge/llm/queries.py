@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgauge.llm import decontaminate, jaccard, lattice, mixing, quality, secrets, sharding, token_files, toxicity
+from webgauge.llm import decontaminate, jaccard, lattice, mixing, quality, secrets, sharding, token_files, toxicity, url_filter
 
 SHARDS = 24
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+#: Names of hosts whose pages make up the list of blocked URLs.
+LISTED_HOSTS = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,13 @@ def op2_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.similar_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    name = F.regexp_extract(url_filter.host_of(F.col("url")), r"(?:^|\.)([^.]+)\.[^.]+\.[^.]+$", 1)
+    listed = pages.where(name.isin(*LISTED_HOSTS)).select("url")
+    return url_filter.judge_urls(pages, url_filter.rule_table(spark, URL_RULES), listed)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), details=True)
 
@@ -69,6 +79,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_discriminant": op1_quality_discriminant,
     "op2_lattice_dedup": op2_lattice_dedup,
+    "op3_url_filter": op3_url_filter,
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
