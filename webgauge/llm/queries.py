@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from webgauge.llm import decontaminate, jaccard, lattice, mixing, quality, secrets, sharding, token_files, toxicity, url_filter
 
 SHARDS = 24
@@ -77,6 +78,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_quality_discriminant": op1_quality_discriminant,
     "op2_lattice_dedup": op2_lattice_dedup,
     "op3_url_filter": op3_url_filter,
