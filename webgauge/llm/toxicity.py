@@ -27,7 +27,7 @@ from webgauge.llm.arrays import LOWER, Words, mix, offsets_of, slices
 from webgauge.llm.quality import held_out
 
 GRADES = 4
-SAMPLE = 3000
+SAMPLE = 1500
 FEATURES = 4096
 PREFIXES = (4, 5, 6, 7, 8)
 #: A feature goes in if it is in this many toxic texts at least, and this many standard errors more often than chance.
@@ -150,27 +150,18 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> Ordinal:
     none = np.zeros(0, dtype=np.uint64)
     if not n.all():
         return Ordinal(none, np.zeros(0), np.array([20.0 if not n[1] else -20.0, 20.0, 20.0]), none)
-    rows, keys, leads = [], [], []
-    done = 0
-    column = pa.array(texts, pa.string())
-    for part in slices(iter([pa.record_batch([column], ["t"])]), "t"):
-        features = Features(part.column("t"))
-        row, key = features.keys(np.arange(len(features.row)))
-        row, key, number = counts(row, key)
-        rows.append(row + done)
-        keys.append(np.stack([key, number.astype(np.uint64)]))
-        # Which first four bytes lead to a feature.
-        _, once = np.unique(features.words.hash, return_index=True)
-        word, key = features.keys_of(once)
-        leads.append(np.unique(np.stack([key, features.lead[word] >> np.uint64(32)]), axis=1))
-        done += part.num_rows
-    row, (key, number) = np.concatenate(rows), np.concatenate(keys, axis=1)
-    known, place = np.unique(key, return_inverse=True)
-    with_ = np.stack([np.bincount(place[~toxic[row]], minlength=len(known)), np.bincount(place[toxic[row]], minlength=len(known))]).astype(float)
+    # Only features of enough toxic texts can be chosen: what the other texts have besides is never held.
+    parts = [_counted(texts, np.flatnonzero(toxic))]
+    known, often = np.unique(parts[0][1], return_counts=True)
+    known = known[often >= LEAST_TEXTS]
+    parts = [_among(parts[0], known), _counted(texts, np.flatnonzero(~toxic), known)]
+    row, key, number = (np.concatenate(x) for x in zip(*parts))
+    place = np.searchsorted(known, key)
+    with_ = np.stack([np.bincount(place[toxic[row] == y], minlength=len(known)) for y in (False, True)]).astype(float)
     rate = with_.sum(axis=0) / n.sum()
     error = np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n).sum())
     z = (with_[1] / n[1] - with_[0] / n[0]) / error
-    telling = np.flatnonzero((with_[1] >= LEAST_TEXTS) & (z >= LEAST_Z))
+    telling = np.flatnonzero(z >= LEAST_Z)
     telling = np.sort(telling[np.argsort(-z[telling], kind="stable")[:FEATURES]])
     index = np.full(len(known), -1)
     index[telling] = np.arange(len(telling))
@@ -178,8 +169,41 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> Ordinal:
     row, place, value = row[chosen], index[place[chosen]], np.log1p(number[chosen].astype(float))
     strength = np.bincount(row, value * z[telling][place], len(toxic))
     cuts, weights = fit_cuts_and_weights(row, place, value, grades(toxic, strength), len(telling))
-    key, lead = np.concatenate(leads, axis=1)
-    return Ordinal(known[telling], weights, cuts, np.unique(lead[np.isin(key, known[telling])]))
+    return Ordinal(known[telling], weights, cuts, _leads(texts, np.flatnonzero(toxic), known[telling]))
+
+
+def _parts(texts: list[str | None], index: np.ndarray) -> Iterator[tuple[np.ndarray, Features]]:
+    column = pa.array([texts[k] for k in index.tolist()], pa.string())
+    done = 0
+    for part in slices(iter([pa.record_batch([column], ["t"])]), "t", 1 << 20):
+        yield index[done : done + part.num_rows], Features(part.column("t"))
+        done += part.num_rows
+
+
+def _among(found: tuple[np.ndarray, ...], known: np.ndarray) -> tuple[np.ndarray, ...]:
+    place = np.searchsorted(known, found[1])
+    place[place == len(known)] = 0
+    keep = known[place] == found[1] if len(known) else np.zeros(len(place), dtype=bool)
+    return tuple(x[keep] for x in found)
+
+
+def _counted(texts: list[str | None], index: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(text, key, number) of the features of some texts, or of those among the known ones."""
+    out = [(np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32))]
+    for rows, features in _parts(texts, index):
+        row, key, number = counts(*features.keys(np.arange(len(features.row))))
+        found = (rows[row].astype(np.int32), key, number.astype(np.int32))
+        out.append(found if known is None else _among(found, known))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _leads(texts: list[str | None], index: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The first four bytes of the words that have one of these features."""
+    out = [np.zeros(0, dtype=np.uint64)]
+    for _, features in _parts(texts, index):
+        word, key = features.keys_of(np.unique(features.words.hash, return_index=True)[1])
+        out.append(np.unique(features.lead[word[np.isin(key, keys)]] >> np.uint64(32)))
+    return np.unique(np.concatenate(out))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str, sample: int) -> tuple[list, np.ndarray]:
