@@ -15,8 +15,10 @@ _PARTS = (
     rf"(?is)^({_SPECIAL}):[/\\]*+((?:[^/\\?#]*@)?)(\[[0-9a-f:.]+\]|[^\x00-\x20#<>^|%\\\[\]:/?@]+)"
     r"(?::0*+([0-9]{0,5}))?(?=[/\\?#]|$)([^?#]*+)(\?[^#]*+)?+(#.*)?+$"
 )
-# Characters that the standard percent-encodes in a path or query.
-_ENCODED = r"""[^\x21-\x7E]|["<>`{}]"""
+# Characters that the standard percent-encodes in a path, in the query of a special URL and in a fragment.
+_IN_PATH = r"""[^\x21-\x7E]|["<>`{}]"""
+_IN_QUERY = r"""[^\x21-\x7E]|["'<>]"""
+_IN_FRAGMENT = r"""[^\x21-\x7E]|["<>`]"""
 
 
 def is_http(url: Column) -> Column:
@@ -51,12 +53,12 @@ def host_of(url: Column) -> Column:
     return split_url(url)["host"]
 
 
-def percent_encode(c: Column) -> Column:
+def percent_encode(c: Column, encoded: str) -> Column:
     def encode(ch: Column) -> Column:
-        return F.when(ch.rlike(_ENCODED), F.regexp_replace(F.hex(F.encode(ch, "UTF-8")), "(..)", "%$1")).otherwise(ch)
+        return F.when(ch.rlike(encoded), F.regexp_replace(F.hex(F.encode(ch, "UTF-8")), "(..)", "%$1")).otherwise(ch)
 
     chars = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
-    return F.when(c.rlike(_ENCODED), F.array_join(F.transform(chars, encode), "")).otherwise(c)
+    return F.when(c.rlike(encoded), F.array_join(F.transform(chars, encode), "")).otherwise(c)
 
 
 def clean_path(path: Column) -> Column:
@@ -94,10 +96,9 @@ def normalize(url: Column) -> Column:
     """Comparable form of an absolute special URL, null when it is not valid."""
 
     def join(p: Column) -> Column:
-        tail = F.concat(p["query"], p["fragment"])
-        return F.concat(
-            p["scheme"], F.lit("://"), _authority(p), percent_encode(clean_path(p["path"])), percent_encode(tail)
-        )
+        path = percent_encode(clean_path(p["path"]), _IN_PATH)
+        tail = F.concat(percent_encode(p["query"], _IN_QUERY), percent_encode(p["fragment"], _IN_FRAGMENT))
+        return F.concat(p["scheme"], F.lit("://"), _authority(p), path, tail)
 
     return let(url, lambda text: let(split_url(text), join))
 

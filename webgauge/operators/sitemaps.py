@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webgauge.functions.text import trim
 from webgauge.functions.urls import is_http
 from webgauge.operators.rules import fired
-from webgauge.operators.skew import top_per_group
+from webgauge.operators.skew import ranked, top_per_group
 from webgauge.session import materialize
 
 # Where sitemaps are looked for, in this order; the check only tries the first two.
@@ -122,8 +122,10 @@ def site_urls(roots: DataFrame, docs: DataFrame) -> DataFrame:
     return sitemap_urls(docs).join(reachable, ["site", "sitemap_url"], "left_semi").select("site", "url").distinct()
 
 
-def url_list(urls: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` URLs per site in ascending order, with their place."""
+def url_list(urls: DataFrame, limit: int | None = None) -> DataFrame:
+    """The URLs of each site in ascending order, with their place; all of them or the first ``limit``."""
+    if limit is None:
+        return ranked(urls, [F.asc("url")], "site")
     return top_per_group(urls, "site", [F.asc("url")], limit)
 
 

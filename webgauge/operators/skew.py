@@ -68,10 +68,10 @@ def ranked(df: DataFrame, order: list[Column], group: str | None = None, name: s
 def top_per_group(df: DataFrame, group: str, order: list[Column], n: int, name: str = "rank") -> DataFrame:
     """The first ``n`` rows per group with their rank.
 
-    Up to 1000, Spark's window group limit keeps ``n`` rows per group and map task before the shuffle;
-    beyond that the rank comes from the range sort.
+    As far as the session lets Spark limit window groups, ``n`` rows per group and map task are left before
+    the shuffle; beyond that the rank comes from the range sort. The rows are the same either way.
     """
-    if n <= 1000:
+    if n <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
         rank = F.row_number().over(W.partitionBy(group).orderBy(*order))
         return df.withColumn(name, rank.cast("long")).where(F.col(name) <= n)
     return ranked(df, order, group, name).where(F.col(name) <= n)

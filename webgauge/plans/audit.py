@@ -11,7 +11,7 @@ from webgauge.operators.links import with_broken_links
 from webgauge.operators.rules import counted_issue, fired, issue, page_issues, status_of
 from webgauge.operators.score import seo_score
 from webgauge.operators.site import duplicate_pages
-from webgauge.session import materialize, spread
+from webgauge.session import materialize
 
 # Working columns that are not part of the audit.
 _INTERNAL = ("hrefs", "image_sources", "canonical_target", "canonical_self", "page_issues", "title_pages", "description_pages")
@@ -28,7 +28,7 @@ def page_table(crawl: DataFrame, **options) -> DataFrame:
     This is where HTML ends. Filters, explodes and joins belong behind it: in front of it the optimizer
     would push a filter on a derived column below the parse and evaluate the parse twice.
     """
-    metrics = page_metrics(spread(crawl), **options)
+    metrics = page_metrics(crawl, **options)
     return materialize(metrics.drop("main_text", "keyword_counts", "sentence_count", "syllable_count"))
 
 

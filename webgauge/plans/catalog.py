@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from webgauge.operators import content, facts, links, rules, score, site, sitemaps
 from webgauge.plans import audit as plan
 from webgauge.plans import report
-from webgauge.session import materialize, spread
+from webgauge.session import deal_single_split, materialize
 from webgauge.sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +28,7 @@ def query(build: Query) -> Query:
 
 
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(fixtures.crawl(spark, sf_dir))
+    return deal_single_split(fixtures.crawl(spark, sf_dir))
 
 
 def page_facts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -215,7 +215,7 @@ def thin_content(spark, sf_dir):
 
 def document_metrics_of(spark, sf_dir):
     docs = spark.read.schema("doc_id bigint, text string").parquet(f"{sf_dir}/documents.parquet")
-    return materialize(content.with_text_metrics(spread(docs), "text").drop("text", "keyword_counts"))
+    return materialize(content.with_text_metrics(deal_single_split(docs), "text").drop("text", "keyword_counts"))
 
 
 @query
@@ -359,7 +359,7 @@ def url_list(spark, sf_dir):
 
 @query
 def full_url_list(spark, sf_dir):
-    return sitemaps.url_list(found_urls(spark, sf_dir), 1_000_000)
+    return sitemaps.url_list(found_urls(spark, sf_dir))
 
 
 @query
@@ -391,7 +391,7 @@ def page_issues(spark, sf_dir):
 
 
 def scored(spark, sf_dir):
-    return score.seo_score(plan.page_table(fixtures.crawl(spark, sf_dir)))
+    return score.seo_score(plan.page_table(crawl(spark, sf_dir)))
 
 
 @query

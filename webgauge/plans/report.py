@@ -138,8 +138,8 @@ def sort_key(by: str, reference_order: bool = False) -> Column:
 
 
 def sort_pages(pages: DataFrame, by: str = "status", reference_order: bool = False) -> DataFrame:
-    """Pages with their ``rank`` in the chosen order; ties by URL."""
-    return ranked(pages, [sort_key(by, reference_order), F.asc("url")])
+    """Pages with their ``rank`` within the site in the chosen order; ties by URL."""
+    return ranked(pages, [sort_key(by, reference_order), F.asc("url")], "site")
 
 
 def result_counts(audit: DataFrame, status: str = "all", text: str = "") -> DataFrame:

@@ -46,7 +46,10 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a scan yields fewer tasks than that; a no-op on large inputs."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def deal_single_split(df: DataFrame) -> DataFrame:
+    """Deal a table that is read as one split to all cores.
+
+    One split is at most ``spark.sql.files.maxPartitionBytes``, so this shuffle is small by construction.
+    Larger tables keep their splits: to use more cores there, lower that setting instead of shuffling pages.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
