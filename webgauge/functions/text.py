@@ -70,17 +70,24 @@ def round_half_up(x: Column, digits: int = 0) -> Column:
     return F.floor(x.cast("double") * scale + F.lit(0.5).cast("double")).cast("double") / scale
 
 
-def _entity_table() -> str:
-    """Character references as JSON: the public HTML 5 names and the code points 128-159 by Windows-1252."""
-    table = {f"&{name}": text for name, text in html5.items()}
-    for code in range(0x80, 0xA0):
-        text = bytes([code]).decode("cp1252", errors="ignore")
-        if text:
-            table[f"&#{code};"] = text
-    return json.dumps(table)
+def _entity_tables() -> str:
+    """The public HTML 5 names as JSON: one table per first character from ``A`` to ``z``, so that a lookup is short."""
+    tables: list[dict[str, str]] = [{} for _ in range(ord("A"), ord("z") + 1)]
+    for name, text in html5.items():
+        tables[ord(name[0]) - ord("A")][f"&{name}"] = text
+    return json.dumps(tables)
 
 
-ENTITY_TABLE = _entity_table()
+def _windows_table() -> str:
+    """The code points 128-159 by Windows-1252, as JSON."""
+    texts = {code: bytes([code]).decode("cp1252", errors="ignore") for code in range(0x80, 0xA0)}
+    return json.dumps({f"{code:X}": text for code, text in texts.items() if text})
+
+
+ENTITY_TABLES = _entity_tables()
+WINDOWS_TABLE = _windows_table()
+#: Names that are known without a semicolon, the longest first: a text may go on right behind them.
+_BARE_NAME = f"^&(?:{'|'.join(sorted((n for n in html5 if not n.endswith(';')), key=lambda n: (-len(n), n)))})"
 # Characters that would change how a tag is read, and the references that stand for them.
 MARKUP = {'"': "&quot;", "'": "&#39;", "<": "&lt;", ">": "&gt;", "=": "&#61;", " ": "&#32;", "\n": "&#10;", "\t": "&#9;", "&": "&amp;"}
 COMMON_ENTITIES = {"&amp;": "&", "&nbsp;": "\u00a0", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&#39;": "'"}
@@ -95,7 +102,8 @@ def _code_point(hex_digits: Column) -> Column:
 
 
 def _reference(token: Column, in_tag: Column) -> Column:
-    table = F.from_json(F.lit(ENTITY_TABLE), "map<string,string>")
+    tables = F.from_json(F.lit(ENTITY_TABLES), "array<map<string,string>>")
+    windows = F.from_json(F.lit(WINDOWS_TABLE), "map<string,string>")
     decimal = F.regexp_extract(token, "^&#0*([0-9]+)", 1)
     hexadecimal = F.regexp_extract(token, "(?i)^&#x0*([0-9a-f]+)", 1)
 
@@ -103,12 +111,21 @@ def _reference(token: Column, in_tag: Column) -> Column:
         value = F.when(~token.startswith("&") | (token == "&"), token)
         for name, text in COMMON_ENTITIES.items():
             value = value.when(token == name, F.lit(text))
-        # "?a=1&copy=2" keeps its text: inside a tag a named reference needs its semicolon.
-        named = F.when(~in_tag | F.endswith(token, F.lit(";")), F.try_element_at(table, token))
         number = F.when(hexadecimal != "", F.upper(hexadecimal)).when(decimal != "", F.hex(decimal.try_cast("bigint")))
-        return value.otherwise(
-            F.coalesce(named, F.when(token.startswith("&#"), _code_point(F.coalesce(number, F.lit("110000")))), token)
+        numeric = let(
+            F.coalesce(number, F.lit("110000")), lambda n: F.coalesce(F.try_element_at(windows, n), _code_point(n))
         )
+        return value.when(token.startswith("&#"), numeric).otherwise(F.coalesce(known(token), prefixed(), token))
+
+    def known(name: Column) -> Column:
+        table = F.get(tables, F.ascii(F.substring(name, 2, 1)) - ord("A"))
+        return F.try_element_at(table, name)
+
+    def prefixed() -> Column:
+        """In text the longest known beginning counts; "?a=1&copy=2" in a tag keeps its text."""
+        name = F.regexp_extract(token, _BARE_NAME, 0)
+        rest = F.substring(token, F.length(name) + 1, F.length(token))
+        return F.when(~in_tag & (name != ""), F.concat(known(name), rest))
 
     def protected(text: Column) -> Column:
         """Inside a tag, characters with a meaning there stay references until the value is cut out."""
@@ -123,7 +140,7 @@ def _reference(token: Column, in_tag: Column) -> Column:
 def unescape(c: Column, in_tag: Column) -> Column:
     """Decode character references in one pass; text without ``&`` is returned as it is."""
     parts = F.regexp_extract_all(
-        c, F.lit(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)|[^&]+|&"), F.lit(0)
+        c, F.lit(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*[;=]?)|[^&]+|&"), F.lit(0)
     )
     decoded = F.array_join(F.transform(parts, lambda t: _reference(t, in_tag)), "")
     return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)

@@ -25,6 +25,12 @@ def is_http(url: Column) -> Column:
     return url.startswith("http://") | url.startswith("https://")
 
 
+def ascii_host(host: Column) -> Column:
+    """An international host name in its ASCII form (``xn--``), null when it has none; others as they are."""
+    converted = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host)
+    return F.when(host.rlike(r"[^\x00-\x7F]"), converted).otherwise(host)
+
+
 def split_url(url: Column) -> Column:
     """``struct<scheme, creds, host, port, path, query, fragment>`` of an absolute special URL, else null."""
 
@@ -38,7 +44,7 @@ def split_url(url: Column) -> Column:
     fields = F.struct(
         F.lower(part(1)).alias("scheme"),
         part(2).alias("creds"),
-        F.lower(part(3)).alias("host"),
+        let(F.lower(part(3)), ascii_host).alias("host"),
         port(F.lower(part(1))).alias("port"),
         part(5).alias("path"),
         part(6).alias("query"),

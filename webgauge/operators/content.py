@@ -99,14 +99,14 @@ def _plain(name: str) -> dict[str, Column]:
 
 
 @lru_cache
-def _counted(name: str, target_keyword: str | None) -> list[Column]:
+def _counted(name: str, target_keyword: str | None, unicode_keywords: bool) -> list[Column]:
     plain, lower = F.col("_plain"), F.col("_lower")
     columns = [
         F.size(word_list(plain)).alias("word_count"),
         utf16_length(F.col(name)).alias("character_count"),
         sentence_count(plain).alias("sentence_count"),
         syllable_count(lower).alias("syllable_count"),
-        keyword_counts(lower).alias("keyword_counts"),
+        keyword_counts(lower, unicode_keywords).alias("keyword_counts"),
     ]
     if target_keyword:
         hits = F.filter(word_list(lower), lambda w: F.contains(w, F.lit(target_keyword.lower())))
@@ -139,9 +139,13 @@ def _best_keywords() -> Column:
     return top_keywords(F.col("keyword_counts"), F.col("word_count").cast("double"))
 
 
-def with_text_metrics(df: DataFrame, text: str, target_keyword: str | None = None) -> DataFrame:
-    """Add all metrics of the text column; null text gives null metrics."""
-    counted = df.withColumns(_plain(text)).select("*", *_counted(text, target_keyword)).drop("_plain", "_lower")
+def with_text_metrics(df: DataFrame, text: str, target_keyword: str | None = None, unicode_keywords: bool = False) -> DataFrame:
+    """Add all metrics of the text column; null text gives null metrics.
+
+    Keywords are cut to ASCII letters and digits; ``unicode_keywords`` keeps those of all scripts.
+    """
+    columns = _counted(text, target_keyword, unicode_keywords)
+    counted = df.withColumns(_plain(text)).select("*", *columns).drop("_plain", "_lower")
     return counted.withColumn("top_keywords", _best_keywords()).withColumns(_measured(text, target_keyword))
 
 
@@ -161,10 +165,10 @@ def _main_columns() -> list[Column]:
     ]
 
 
-def content_metrics(facts: DataFrame, target_keyword: str | None = None) -> DataFrame:
+def content_metrics(facts: DataFrame, target_keyword: str | None = None, unicode_keywords: bool = False) -> DataFrame:
     """Add the content metrics of each page's main content; the node array ends here."""
     counted = facts.select(*[c for c in facts.columns if c != "main_nodes"], *_main_columns())
-    return with_text_metrics(counted, "main_text", target_keyword)
+    return with_text_metrics(counted, "main_text", target_keyword, unicode_keywords)
 
 
 def thin_content(metrics: DataFrame) -> DataFrame:

@@ -275,6 +275,10 @@ def _fact_columns() -> list[Column | str]:
 
 
 def page_facts(crawl: DataFrame, strict_links: bool = False) -> DataFrame:
-    """Facts of every crawled page; all fact columns are null for pages that were not fetched."""
+    """Facts of every crawled page; all fact columns are null for pages that were not fetched.
+
+    Sets the session to read JSON as a script does: of a repeated key the last value counts.
+    """
+    crawl.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     elements = page_elements(parsed_pages(crawl))
     return elements.withColumns(_derived_columns(strict_links)).select(*_fact_columns())

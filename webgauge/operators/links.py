@@ -84,13 +84,18 @@ def links_to_check(edges: DataFrame, known: DataFrame | None = None) -> DataFram
 
 
 def broken_statuses(link_status: DataFrame) -> DataFrame:
-    """Targets without an answer or with an error answer. An unknown status is not broken."""
-    return link_status.where((F.col("status") == 0) | (F.col("status") >= 400))
+    """Targets without an answer or with an error answer, each once. An unknown status is not broken.
+
+    Of several results for one target an answer below 400 counts most, otherwise the smallest status.
+    """
+    bad = (F.col("status") == 0) | (F.col("status") >= 400)
+    best = link_status.where(F.col("status").isNotNull()).groupBy("url").agg(F.min(F.struct(bad.alias("bad"), "status", "error")).alias("r"))
+    return best.where("r.bad").select("url", "r.status", "r.error")
 
 
 def broken_links(edges: DataFrame, link_status: DataFrame) -> DataFrame:
     """Edges to broken targets. Only broken targets enter the join; menu links may be hot."""
-    broken = broken_statuses(link_status).select(F.col("url").alias("target"), "status", "error")
+    broken = materialize(broken_statuses(link_status).select(F.col("url").alias("target"), "status", "error"))
     return lookup_join(edges, broken, "target")
 
 

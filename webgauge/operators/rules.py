@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webgauge.functions.text import utf16_length
+from webgauge.operators.facts import JSON_LD_UNPARSABLE
 
 MEGABYTE = 1024 * 1024
 
@@ -180,7 +181,7 @@ def _length_rules(column: str, missing: str, short: str, long: str, bounds: tupl
 
 def _json_ld_issues() -> Column:
     def of_block(block: Column) -> Column:
-        unparsable = F.array_contains(block["errors"], "Neplatný JSON") & (block["data"] == "{}")
+        unparsable = F.array_contains(block["errors"], JSON_LD_UNPARSABLE) & (block["data"] == "{}")
         errors = F.array_join(block["errors"], ", ")
         return F.when(unparsable, issue("JSONLD_UNPARSABLE")).otherwise(issue("JSONLD_INVALID", errors))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webgauge.functions.text import round_half_up, utf16_length
 from webgauge.operators.skew import key_of, lookup_join, top_per_group
+from webgauge.session import materialize
 
 TOP_ISSUES = 10
 
@@ -18,9 +19,12 @@ def duplicates(pages: DataFrame, column: str) -> DataFrame:
 
 
 def duplicate_pages(pages: DataFrame, column: str, name: str) -> DataFrame:
-    """``site, url`` of the pages that share a value, and how many do. A template title may be hot."""
+    """``site, url`` of the pages that share a value, and how many do. A template title may be hot.
+
+    The shared values are counted once and stored; there are at most half as many as pages.
+    """
     keyed = pages.select("site", "url", key_of("site", column).alias("_dup")).where(F.col("_dup").isNotNull())
-    counts = duplicates(pages, column).select(key_of("site", column).alias("_dup"), F.col("pages").alias(name))
+    counts = materialize(duplicates(pages, column).select(key_of("site", column).alias("_dup"), F.col("pages").alias(name)))
     return lookup_join(keyed, counts, "_dup").drop("_dup")
 
 
@@ -36,10 +40,9 @@ def _mean(total: Column, n: Column) -> Column:
     return F.coalesce(round_half_up(F.try_divide(total.cast("double"), n.cast("double"))), F.lit(0.0)).cast("long")
 
 
-def site_stats(audit: DataFrame) -> DataFrame:
-    """Page statistics per site."""
+def _page_stats() -> list[Column]:
     size, status = F.col("page_size"), F.col("status")
-    return audit.groupBy("site").agg(
+    return [
         F.count("*").alias("total_pages"),
         *[F.count_if(status == s).alias(f"{s}_pages") for s in ("error", "warning", "ok")],
         _mean(F.sum(size), F.count_if(size > 0)).alias("avg_page_size"),
@@ -47,28 +50,43 @@ def site_stats(audit: DataFrame) -> DataFrame:
         F.coalesce(F.sum("internal_links_count"), F.lit(0)).alias("total_internal_links"),
         F.count_if("mobile_friendly").alias("mobile_friendly_pages"),
         F.count_if("https").alias("https_pages"),
-    )
+    ]
+
+
+def _length_means() -> list[Column]:
+    return [
+        _mean(F.sum(utf16_length(F.col(c))), F.count(c)).alias(name)
+        for c, name in (("title", "avg_title_length"), ("meta_description", "avg_description_length"))
+    ]
+
+
+def _score_values() -> list[Column]:
+    return [
+        F.when(F.count("score") > 0, _mean(F.sum("score"), F.count("score"))).alias("avg_score"),
+        F.max("score").alias("max_score"),
+        F.min("score").alias("min_score"),
+        F.count("score").alias("scored_pages"),
+    ]
+
+
+def site_stats(audit: DataFrame) -> DataFrame:
+    """Page statistics per site."""
+    return audit.groupBy("site").agg(*_page_stats())
 
 
 def average_lengths(audit: DataFrame) -> DataFrame:
     """Rounded mean lengths of the titles and descriptions that exist."""
-    return audit.groupBy("site").agg(
-        *[
-            _mean(F.sum(utf16_length(F.col(c))), F.count(c)).alias(name)
-            for c, name in (("title", "avg_title_length"), ("meta_description", "avg_description_length"))
-        ]
-    )
+    return audit.groupBy("site").agg(*_length_means())
 
 
 def score_stats(audit: DataFrame) -> DataFrame:
     """Score statistics of the sites that have scored pages."""
-    scored = audit.where(F.col("score").isNotNull()).groupBy("site")
-    return scored.agg(
-        _mean(F.sum("score"), F.count("score")).alias("avg_score"),
-        F.max("score").alias("max_score"),
-        F.min("score").alias("min_score"),
-        F.count("score").alias("scored_pages"),
-    )
+    return audit.where(F.col("score").isNotNull()).groupBy("site").agg(*_score_values())
+
+
+def site_results(audit: DataFrame) -> DataFrame:
+    """All statistics of each site in one aggregation; score values are null without a scored page."""
+    return audit.groupBy("site").agg(*_page_stats(), *_length_means(), *_score_values())
 
 
 def long_issues(audit: DataFrame) -> DataFrame:

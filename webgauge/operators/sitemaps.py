@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webgauge.functions.text import trim
+from webgauge.functions.text import let, trim
 from webgauge.functions.urls import is_http
 from webgauge.operators.rules import fired
 from webgauge.operators.skew import ranked, top_per_group
@@ -78,24 +78,39 @@ def parsed_docs(docs: DataFrame) -> DataFrame:
     )
 
 
-def _first_locs(entries: str) -> Column:
-    locs = F.transform(F.col(entries), lambda e: trim(F.get(e["loc"], F.lit(0))))
-    return F.explode(F.filter(locs, lambda loc: loc != ""))
+def listed_locations(docs: DataFrame) -> DataFrame:
+    """``site, sitemap_url, root, locs``: what every readable sitemap lists, the first location of each entry.
 
+    Row-local, with one parse per document. Choosing the reachable documents first would move their bodies
+    through a shuffle; here only the locations go on.
+    """
+    root = F.col("root")
+
+    def first_locs(entries: Column) -> Column:
+        locs = F.transform(entries, lambda e: trim(F.get(e["loc"], F.lit(0))))
+        return F.filter(locs, lambda loc: loc != "")
+
+    def read(xml: Column) -> Column:
+        whole = xml["_corrupt_record"].isNull()
+        listed = F.when(root == "urlset", first_locs(xml["url"])).when(root == "sitemapindex", first_locs(xml["sitemap"]))
+        return F.when(whole, listed)
+
+    good = docs.where(answered(F.col("http_status"))).withColumn("root", F.regexp_extract("body", _ROOT, 1))
+    return good.select("site", "sitemap_url", "root", let(F.from_xml("body", _XML), read).alias("locs"))
 
-def _readable(docs: DataFrame, root: str) -> DataFrame:
-    return parsed_docs(docs.where(answered(F.col("http_status")))).where((F.col("root") == root) & ~F.col("malformed"))
+
+def _listed(stored: DataFrame, root: str, name: str) -> DataFrame:
+    return stored.where(F.col("root") == root).select("site", "sitemap_url", F.explode("locs").alias(name))
 
 
 def sitemap_urls(docs: DataFrame) -> DataFrame:
     """Page URLs of every readable url set: the first location of each entry, each URL once."""
-    return _readable(docs, "urlset").select("site", "sitemap_url", _first_locs("xml.url").alias("url")).distinct()
+    return _listed(materialize(listed_locations(docs)), "urlset", "url").distinct()
 
 
 def sitemap_children(docs: DataFrame) -> DataFrame:
     """Edges from every readable sitemap index to the sitemaps it lists."""
-    edges = _readable(docs, "sitemapindex").select("site", "sitemap_url", _first_locs("xml.sitemap").alias("child"))
-    return edges.distinct()
+    return _listed(materialize(listed_locations(docs)), "sitemapindex", "child").distinct()
 
 
 def expand(roots: DataFrame, docs: DataFrame) -> DataFrame:
@@ -103,7 +118,10 @@ def expand(roots: DataFrame, docs: DataFrame) -> DataFrame:
 
     The rounds follow the depth of the index tree and end when one finds nothing new.
     """
-    children = materialize(sitemap_children(docs))
+    return _walk(roots, materialize(sitemap_children(docs)))
+
+
+def _walk(roots: DataFrame, children: DataFrame) -> DataFrame:
     start = roots.where(F.col("sitemap_url").isNotNull()).select("site", "sitemap_url", F.lit(0).alias("depth"))
     visited = frontier = materialize(start.distinct())
     depth = 0
@@ -118,8 +136,11 @@ def expand(roots: DataFrame, docs: DataFrame) -> DataFrame:
 
 def site_urls(roots: DataFrame, docs: DataFrame) -> DataFrame:
     """All page URLs of a site, each once, from its root sitemap down."""
-    reachable = expand(roots, docs).select("site", "sitemap_url")
-    return sitemap_urls(docs).join(reachable, ["site", "sitemap_url"], "left_semi").select("site", "url").distinct()
+    stored = materialize(listed_locations(docs))
+    children = materialize(_listed(stored, "sitemapindex", "child").distinct())
+    reachable = _walk(roots, children).select("site", "sitemap_url")
+    sets = stored.where("root = 'urlset'").join(reachable, ["site", "sitemap_url"], "left_semi")
+    return _listed(sets, "urlset", "url").select("site", "url").distinct()
 
 
 def url_list(urls: DataFrame, limit: int | None = None) -> DataFrame:

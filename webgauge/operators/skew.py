@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from webgauge.session import materialize
 
-HOT_SHARE = 0.01
+#: Bounds of the share of rows that makes a key hot.
+MOST_SHARE, LEAST_SHARE = 0.01, 0.0001
 
 
 def key_of(*parts: str) -> Column:
@@ -19,21 +20,27 @@ def key_of(*parts: str) -> Column:
     return F.when(present, F.concat_ws("\u0001", *parts))
 
 
+def hot_share(df: DataFrame) -> float:
+    """What an even shuffle partition holds, within bounds: a key above it would make its partition stand out."""
+    even = 1.0 / int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_SHARE, max(LEAST_SHARE, even))
+
+
 def hot_keys(df: DataFrame, key: str) -> list[str]:
-    """Every key with more than ``HOT_SHARE`` of the rows, and never more than ``1 / HOT_SHARE`` keys.
+    """Every key with more than the hot share of the rows, and never more keys than one over that share.
 
     ``freqItems`` guarantees both in one pass without a shuffle of the keys; it may add cooler keys,
     which only changes how those are joined.
     """
-    row = df.where(F.col(key).isNotNull()).select(key).stat.freqItems([key], HOT_SHARE).first()
+    row = df.where(F.col(key).isNotNull()).select(key).stat.freqItems([key], hot_share(df)).first()
     return list(row[0])
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Inner or left join of ``left`` with a table that is unique on ``key``; left keys are not null.
 
-    Rows with a hot key are answered by a broadcast of at most ``1 / HOT_SHARE`` rows; all others meet
-    in the shuffle, where no key has more than ``HOT_SHARE`` of the rows left. ``left`` is evaluated
+    Rows with a hot key are answered by a broadcast of one row per hot key, 10,000 at most; all others meet
+    in the shuffle, where no key has more than the hot share of the rows left. ``left`` is evaluated
     twice, so it should be cheap to derive from a stored table.
     """
     columns = [*left.columns, *[c for c in right.columns if c != key]]

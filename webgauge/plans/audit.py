@@ -17,9 +17,11 @@ from webgauge.session import materialize
 _INTERNAL = ("hrefs", "image_sources", "canonical_target", "canonical_self", "page_issues", "title_pages", "description_pages")
 
 
-def page_metrics(crawl: DataFrame, strict_links: bool = False, target_keyword: str | None = None) -> DataFrame:
+def page_metrics(
+    crawl: DataFrame, strict_links: bool = False, target_keyword: str | None = None, unicode_keywords: bool = False
+) -> DataFrame:
     """Facts, content and delivery metrics per page. Row-local: one HTML pass, no shuffle."""
-    return content_metrics(page_facts(crawl, strict_links), target_keyword)
+    return content_metrics(page_facts(crawl, strict_links), target_keyword, unicode_keywords)
 
 
 def page_table(crawl: DataFrame, **options) -> DataFrame:

@@ -232,6 +232,15 @@ def document_top_keywords(spark, sf_dir):
     return rows.select("doc_id", (F.col("pos") + 1).alias("rank"), "k.word", F.col("k.count").alias("count"), "k.density")
 
 
+@query
+def unicode_keywords(spark, sf_dir):
+    """Top keywords with the letters of all scripts."""
+    docs = spark.read.schema("doc_id bigint, text string").parquet(f"{sf_dir}/documents.parquet")
+    measured = content.with_text_metrics(deal_single_split(docs), "text", unicode_keywords=True)
+    rows = materialize(measured.select("doc_id", "top_keywords")).select("doc_id", F.posexplode("top_keywords").alias("pos", "k"))
+    return rows.select("doc_id", (F.col("pos") + 1).alias("rank"), "k.word", F.col("k.count").alias("count"), "k.density")
+
+
 # --- delivery ------------------------------------------------------------------------------------
 
 
@@ -385,9 +394,8 @@ def robots_check(spark, sf_dir):
 
 @query
 def page_issues(spark, sf_dir):
-    stored = materialize(facts.page_facts(crawl(spark, sf_dir)).drop("main_nodes"))
-    pages = fetched(stored).withColumn("issues", rules.page_issues())
-    return site.long_issues(pages)
+    """Every issue of every page, those about failed fetches, broken links and shared texts included."""
+    return site.long_issues(full_audit(spark, sf_dir))
 
 
 def scored(spark, sf_dir):
@@ -492,6 +500,11 @@ def score_stats(spark, sf_dir):
     return site.score_stats(scored(spark, sf_dir))
 
 
+@query
+def site_results(spark, sf_dir):
+    return site.site_results(full_audit(spark, sf_dir))
+
+
 @query
 def export_details(spark, sf_dir):
     return report.details(full_audit(spark, sf_dir))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from webgauge.operators.site import duplicates, long_issues, site_results, top_issues
 from webgauge.plans.report import DETAIL_HEADERS, details, summary
 
 
@@ -17,3 +18,25 @@ def write_report(audit: DataFrame, path: str, fmt: str = "parquet", **options: s
 def write_results(audit: DataFrame, path: str) -> None:
     """Write one nested JSON document per page."""
     audit.write.json(path)
+
+
+def write_result_document(
+    audit: DataFrame, path: str, sitemap_check: DataFrame | None = None, robots_check: DataFrame | None = None
+) -> None:
+    """Write the parts of the result document under ``path``, each as JSON lines that name their site.
+
+    Parts: pages, duplicate_titles, duplicate_descriptions, statistics, top_issues and, where given, sitemap_check and
+    robots_check. ``audit`` is read once per part and should be stored.
+    """
+    parts = {
+        "pages": audit,
+        "duplicate_titles": duplicates(audit, "title"),
+        "duplicate_descriptions": duplicates(audit, "meta_description"),
+        "statistics": site_results(audit),
+        "top_issues": top_issues(long_issues(audit)),
+        "sitemap_check": sitemap_check,
+        "robots_check": robots_check,
+    }
+    for name, rows in parts.items():
+        if rows is not None:
+            rows.write.json(f"{path}/{name}")
