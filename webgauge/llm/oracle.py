@@ -53,7 +53,29 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed THEN 'block
     FROM canon c)
 """
 
+CONTROLS = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "\\")
+_ESCAPES = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in CONTROLS)
+
+CHAT_FORMAT = f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), stepped AS (
+    SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role) AS before,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) = 1 AS ends FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(length(text) + length(role) + 24 + {_ESCAPES})::BIGINT AS formatted_chars,
+    bool_and(CASE role WHEN 'system' THEN before IS NULL WHEN 'user' THEN before IS NULL OR before IN ('system', 'assistant')
+        WHEN 'assistant' THEN before IS NOT NULL AND before = 'user' ELSE false END AND (NOT ends OR role <> 'system')) AS valid
+FROM stepped GROUP BY conv_id
+"""
+
 ORACLE: dict[str, str] = {
     "op3_url_filter": URL_FILTER,
     "op4_mix_sources": MIX_SOURCES,
+    "op13_chat_format": CHAT_FORMAT,
 }

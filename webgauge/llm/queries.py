@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from webgauge.llm import decontaminate, jaccard, lattice, mixing, quality, secrets, sharding, token_files, toxicity, url_filter
+from webgauge.llm import chat, decontaminate, jaccard, lattice, mixing, quality, secrets, sharding, token_files, toxicity, url_filter
 
 SHARDS = 24
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Names of hosts whose pages make up the list of blocked URLs.
 LISTED_HOSTS = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x")
+CHAT_PROBE = "</s>[INST] ok [/INST]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +78,26 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CHAT_PROBE).alias("text"))
+    turns = turns.unionByName(probe)
+    whole = chat.join_turns(chat.format_turns(turns))
+    read = whole.select("conv_id", chat.formatted_text(F.col("segments")).alias("formatted"), chat.loss_text(F.col("segments")).alias("loss"))
+    read = read.withColumn("turns", chat.read_back(F.col("formatted")))
+    line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    digests = read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    order = chat.check_order(turns).select(F.col("conv_id").alias("checked"), "valid")
+    return digests.join(order, F.col("conv_id").eqNullSafe(F.col("checked"))).drop("checked")
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_quality_discriminant": op1_quality_discriminant,
@@ -89,4 +110,5 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_secret_scan": op9_secret_scan,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_chat_format": op13_chat_format,
 }
