@@ -53,6 +53,32 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed THEN 'block
     FROM canon c)
 """
 
+LEXICAL_SEARCH = r"""
+WITH asked AS (
+    SELECT row_number() OVER () AS item, item_id, list_distinct(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')
+        .list_transform(lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS terms FROM benchmark
+), wanted AS (
+    SELECT item, item_id, unnest(terms) AS term FROM asked
+), texts AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')
+        .list_transform(lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms FROM documents
+), held AS (
+    SELECT row, doc_id, terms, len(terms) AS n FROM texts WHERE len(terms) > 0
+), totals AS (
+    SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM held
+), counts AS (
+    SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(terms) AS term FROM held)
+    WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counts, totals GROUP BY term
+), scored AS (
+    SELECT item, item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+    FROM wanted JOIN counts USING (term) JOIN weights USING (term), totals GROUP BY item, item_id, row, doc_id
+)
+SELECT item_id, row_number() OVER best AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW best AS (PARTITION BY item ORDER BY score DESC, doc_id) QUALIFY rank <= 10
+"""
+
 CONTROLS = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "\\")
 _ESCAPES = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in CONTROLS)
 
@@ -77,5 +103,6 @@ FROM stepped GROUP BY conv_id
 ORACLE: dict[str, str] = {
     "op3_url_filter": URL_FILTER,
     "op4_mix_sources": MIX_SOURCES,
+    "op12_lexical_search": LEXICAL_SEARCH,
     "op13_chat_format": CHAT_FORMAT,
 }
