@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webgauge.llm.columns import packed, quoted, unpacked, without
 from webgauge.session import materialize
 
 #: Larger means are drawn as a sum of independent parts, as exp(-mean) must stay a normal number.
@@ -29,7 +30,8 @@ def document_size(text: str) -> Column:
 
 def repetition_rates(docs: DataFrame, weights: DataFrame | None, *, source: str, text: str, epochs: float) -> DataFrame:
     """One row per source: its mean number of copies and the Poisson distribution of one part of it."""
-    sizes = docs.groupBy(F.col(source).alias("_source")).agg(F.sum(document_size(text)).cast("double").alias("_size"))
+    sized = docs.select(F.col(quoted(source)).alias("_source"), document_size(quoted(text)).alias("_bytes"))
+    sizes = sized.groupBy("_source").agg(F.sum("_bytes").cast("double").alias("_size"))
     if weights is None:
         weighted = sizes.withColumn("_weight", F.lit(1.0))
     else:
@@ -69,16 +71,17 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, source: st
     texts are rows like others. An empty table gives an empty result. Columns pass through;
     ``details`` adds n_copies, copy (0 to n_copies - 1) and place, the hash that rows are ordered by.
     """
-    kept = [c for c in docs.columns if c not in ("n_copies", "copy", "place")] if details else docs.columns
+    kept = without(docs, "n_copies", "copy", "place") if details else docs.columns
     rates = materialize(repetition_rates(docs, weights, source=source, text=text, epochs=epochs))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(doc).cast("string"), F.col(text)))
-    keyed = docs.select(*[F.col(c) for c in kept], key.alias("_key"))
-    joined = keyed.join(rates, F.col(source).eqNullSafe(F.col("_source")))
-    one = lambda part: F.size(F.filter("_below", lambda below: below <= uniform(F.concat_ws("|", F.col("_key"), part.cast("string")))))
-    drawn = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda total, part: total + one(part))
-    counted = joined.select(*kept, "_key", drawn.alias("_n")).where(F.col("_n") > 0)
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(quoted(doc)).cast("string"), F.col(quoted(text))))
+    keyed = docs.select(packed(docs, kept), F.col(quoted(source)).alias("_name"), key.alias("_key"))
+    joined = keyed.join(rates, F.col("_name").eqNullSafe(F.col("_source")))
+    # The numbers of a document, one per part, are hashed before they meet the distribution.
+    numbers = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda part: uniform(F.concat_ws("|", F.col("_key"), part.cast("string"))))
+    drawn = F.aggregate(numbers, F.lit(0), lambda total, u: total + F.size(F.filter("_below", lambda below: below <= u)))
+    counted = joined.select("row", "_key", drawn.alias("_n")).where(F.col("_n") > 0)
     copies = counted.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy"))
     placed = copies.withColumn("_place", F.md5(F.concat_ws("|", F.col("_key"), F.lit("copy"), F.col("_copy").cast("string"))))
     shuffled = placed.repartition("_place").sortWithinPartitions("_place")
     more = [F.col("_n").alias("n_copies"), F.col("_copy").alias("copy"), F.col("_place").alias("place")] if details else []
-    return shuffled.select(*kept, *more)
+    return shuffled.select(*unpacked(kept), *more)
