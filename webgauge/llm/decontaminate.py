@@ -8,13 +8,16 @@ over shards and items are known to every task.
 Suffixes that cannot match are left out of the array: a suffix is kept only while its words stand in
 a run of benchmark words at least as long as the shortest window. The result is the same.
 
-The items reach the tasks in blocks of bounded size, one broadcast each; a task holds one block at a time.
+The items reach the tasks in blocks of bounded size, one broadcast each, compressed; a task unpacks one at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webgauge.llm.arrays import Words, gather, slices
+from webgauge.llm.columns import fresh, map_whole_rows, quoted, without
 
 WINDOW = 10
 BLOCK_CHARS = 8_000_000
@@ -68,6 +72,8 @@ class TestSuffixes:
         size = np.minimum(words.counts[words.row], window)
         starts = left >= size
         self.longest_item = int(words.counts.max(initial=0))
+        self.ends = np.zeros(len(self.text), dtype=np.int64)  # the end of the item around each word
+        self.ends[gaps] = gaps + left
         at, size = gaps[starts], size[starts]
         # Equal windows are searched once; each knows the items it stands in.
         known: dict[bytes, int] = {}
@@ -130,11 +136,24 @@ def interval(order: np.ndarray, text: np.ndarray, other: np.ndarray, start: np.n
     return bounds[0], bounds[1]
 
 
-def search(words: Words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places (word numbers of the shard) where a window begins, its number, and the words it covers."""
+@dataclass
+class Found:
+    """The suffix array of a shard, and where windows begin in it."""
+
+    text: np.ndarray
+    order: np.ndarray
+    #: Rank in the array, place (word number of the shard), window and its words: one entry per occurrence.
+    rank: np.ndarray
+    place: np.ndarray
+    window: np.ndarray
+    size: np.ndarray
+
+
+def search(words: Words, tests: TestSuffixes) -> Found | None:
+    """The occurrences of all windows in a shard."""
     none = np.zeros(0, dtype=np.int64)
     if not len(tests.window_at) or not len(words.hash):
-        return none, none, none
+        return None
     number = np.searchsorted(tests.vocabulary, words.hash)
     number[number == len(tests.vocabulary)] = 0
     number = np.where(tests.vocabulary[number] == words.hash, number + 1, 0)
@@ -147,71 +166,93 @@ def search(words: Words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, n
     lengths = np.bincount(run_of[place]) if len(place) else none
     place = place[lengths[run_of[place]] >= tests.window_size.min()]
     if not len(place):
-        return none, none, none
+        return None
     runs = run_of[place]
     ends = np.flatnonzero(np.diff(runs))
     # One 0 after each run: a match never runs over the end of a run or a document.
     text = np.insert(number[place], ends + 1, 0)
     origin = np.insert(place, ends + 1, -1)
     text, origin = np.append(text, 0), np.append(origin, -1)
-    order = suffix_array(text, int(tests.window_size.max()))
-    low, high = interval(order, text, tests.text, tests.window_at, tests.window_size)
-    hits = gather(low, high - low)
-    which = np.repeat(np.arange(len(low)), high - low)
-    return origin[order[hits]], which, tests.window_size[which]
-
-
-def longest_matches(words: Words, places: np.ndarray, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
-    """For words where a window begins: the place in the items of the longest match there, and its length."""
-    number = np.searchsorted(tests.vocabulary, words.hash)
-    number[number == len(tests.vocabulary)] = 0
-    text = np.where(tests.vocabulary[number] == words.hash, number + 1, 0)
-    text = np.append(text, 0)
-    left = words.first[words.row[places] + 1] - places
-    size = np.minimum(left, tests.longest_item)
-    # Binary search for the suffix of the document among the sorted suffixes of the items: the longest
-    # match is one of its two neighbours.
-    low, high = np.zeros(len(places), dtype=np.int64), np.full(len(places), len(tests.sorted), dtype=np.int64)
-    while (open_ := np.flatnonzero(low < high)).size:
-        middle = (low[open_] + high[open_]) // 2
-        sign, _ = compare(tests.text, tests.sorted[middle], text, places[open_], size[open_])
-        low[open_[sign < 0]] = middle[sign < 0] + 1
-        high[open_[sign >= 0]] = middle[sign >= 0]
-    best, at = np.zeros(len(places), dtype=np.int64), np.zeros(len(places), dtype=np.int64)
-    for side in (low - 1, low):
-        fits = (side >= 0) & (side < len(tests.sorted))
-        near = tests.sorted[np.clip(side, 0, len(tests.sorted) - 1)]
-        equal = np.where(fits, compare(tests.text, near, text, places, size)[1], 0)
+    order = suffix_array(text, tests.longest_item)
+    # A window whose first or last word is not in the array is nowhere in it.
+    present = np.zeros(len(tests.vocabulary) + 1, dtype=bool)
+    present[text] = True
+    ends = tests.text[tests.window_at + tests.window_size - 1]
+    likely = np.flatnonzero(present[tests.text[tests.window_at]] & present[ends])
+    low, high = interval(order, text, tests.text, tests.window_at[likely], tests.window_size[likely])
+    rank = gather(low, high - low)
+    window = np.repeat(likely, high - low)
+    return Found(text, order, rank, origin[order[rank]], window, tests.window_size[window]) if len(rank) else None
+
+
+def longest_matches(found: Found, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix of the array where a window begins: the place in the items of its longest match, and its length.
+
+    Every test suffix whose first word occurs in the shard is binary-searched in the training array. The suffixes
+    of both sides then stand in one order, and the longest match of a training suffix is one of the two test
+    suffixes next to it.
+    """
+    present = np.zeros(len(tests.vocabulary) + 1, dtype=bool)
+    present[found.text] = True
+    likely = tests.sorted[present[tests.text[tests.sorted]]]
+    size = np.minimum(tests.ends[likely] - likely, tests.longest_item)
+    before = interval(found.order, found.text, tests.text, likely, size)[0]
+    # Test suffixes stand in order, and so do their places in the training array.
+    upper = np.searchsorted(before, found.rank, side="right")
+    at, best = np.zeros(len(found.rank), dtype=np.int64), np.zeros(len(found.rank), dtype=np.int64)
+    own = found.order[found.rank]
+    for side in (upper - 1, upper):
+        fits = (side >= 0) & (side < len(likely))
+        if not fits.any():
+            continue
+        near = likely[np.clip(side, 0, len(likely) - 1)]
+        equal = np.where(fits, compare(found.text, own, tests.text, near, tests.ends[near] - near)[1], 0)
         at = np.where(equal > best, near, at)
         best = np.maximum(best, equal)
     return at, best
 
 
-def _scan(batches: Iterator[pa.RecordBatch], column: str, blocks: list[Broadcast], kind: pa.StructType) -> Iterator[pa.RecordBatch]:
+class Blocks:
+    """The blocks of a task: compressed, but for the one in use."""
+
+    def __init__(self, packed: list[Broadcast]):
+        self.packed, self.at, self.held = packed, -1, None
+
+    def __iter__(self) -> Iterator[TestSuffixes]:
+        for k, block in enumerate(self.packed):
+            if k != self.at:
+                self.held = None
+                self.at, self.held = k, pickle.loads(zlib.decompress(block.value))
+            yield self.held
+
+
+def _pack(items: list[tuple[str, str]], window: int) -> bytes:
+    return zlib.compress(pickle.dumps(TestSuffixes(items, window)), 1)
+
+
+def _scan(batches: Iterator[pa.RecordBatch], column: str, packed: list[Broadcast], kind: pa.StructType) -> Iterator[pa.RecordBatch]:
+    blocks = Blocks(packed)
     for shard in slices(batches, column, SHARD_BYTES):
         words = Words(shard.column(column))
         covered = np.zeros(len(words.hash) + 1, dtype=np.int64)
         items: dict[int, set[str]] = {}
         longest: dict[int, dict] = {}
-        for block in blocks:
-            tests = block.value
-            place, which, size = search(words, tests)
+        for tests in blocks:
+            hits = search(words, tests)
+            if hits is None:
+                continue
+            place = hits.place
             np.add.at(covered, place, 1)
-            np.add.at(covered, place + size, -1)
+            np.add.at(covered, place + hits.size, -1)
             # Each window of a document once, then the items it stands in.
-            rows = words.row[place]
-            for row, window in np.unique(np.stack([rows, which], axis=1), axis=0).tolist() if len(place) else []:
+            for row, window in np.unique(np.stack([words.row[place], hits.window], axis=1), axis=0).tolist():
                 items.setdefault(row, set()).update(tests.ids[k] for k in tests.window_rows[window])
-            if len(place):
-                place = np.unique(place)
-                at, best = longest_matches(words, place, tests)
-                for k in np.lexsort((place, -best)).tolist():
-                    row = int(words.row[place[k]])
-                    if best[k] > longest.get(row, {"words": 0})["words"]:
-                        doc_word = int(place[k] - words.first[row])
-                        longest[row] = {"item_id": tests.ids[tests.row[at[k]]], "item_word": int(tests.place[at[k]]), "doc_word": doc_word, "words": int(best[k])}
-            if len(blocks) > 1:
-                del block._value  # the next block takes its place in memory
+            at, best = longest_matches(hits, tests)
+            for k in np.lexsort((place, -best)).tolist():
+                row = int(words.row[place[k]])
+                if best[k] > longest.get(row, {"words": 0})["words"]:
+                    doc_word = int(place[k] - words.first[row])
+                    longest[row] = {"item_id": tests.ids[tests.row[at[k]]], "item_word": int(tests.place[at[k]]), "doc_word": doc_word, "words": int(best[k])}
         hit = np.cumsum(covered[:-1]) > 0
         before = np.concatenate([[0], np.cumsum(hit)])
         n_hit = before[words.first[1:]] - before[words.first[:-1]]
@@ -225,7 +266,7 @@ def _scan(batches: Iterator[pa.RecordBatch], column: str, blocks: list[Broadcast
             sha = hashlib.sha256(",".join(ids).encode()).hexdigest()
             n_words = int(words.counts[row])
             found.append({"n_words": n_words, "n_hit": int(n_hit[row]), "n_items": len(ids), "items_sha256": sha, "contaminated": bool(n_hit[row]), "hit_ranges": ranges, "item_ids": ids, "longest": longest.get(row)})
-        yield pa.RecordBatch.from_arrays([*shard.columns, pa.array(found, kind)], [*shard.schema.names, "_found"])
+        yield pa.RecordBatch.from_arrays([*shard.columns, pa.array(found, kind)], [*shard.schema.names, "found"])
 
 
 def item_blocks(benchmark: DataFrame, window: int, item: str, text: str, block_chars: int) -> list[Broadcast]:
@@ -238,14 +279,14 @@ def item_blocks(benchmark: DataFrame, window: int, item: str, text: str, block_c
     blocks, held, size = [], [], 0
     for key, value in rows.toLocalIterator():
         if held and size + len(value) > block_chars:
-            blocks.append(context.broadcast(TestSuffixes(held, window)))
+            blocks.append(context.broadcast(_pack(held, window)))
             held, size = [], 0
         held.append((key, value))
         size += len(value)
-    return [*blocks, context.broadcast(TestSuffixes(held, window))] if held else blocks
+    return [*blocks, context.broadcast(_pack(held, window))] if held else blocks
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find_matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS, match: str = "match") -> DataFrame:
     """Every row of ``docs`` with a column ``match``: what of the benchmark stands in it verbatim.
 
     ``match`` holds n_words, n_hit (words inside an occurrence of a window), n_items, items_sha256,
@@ -254,16 +295,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
 
     A window is ``window`` consecutive words of an item; a shorter item with a word is one window. Null and
     empty texts have no words and never match; an empty benchmark matches nothing; repeated rows are
-    judged each on its own; columns of ``docs`` pass through, except that a column ``match`` is replaced.
+    judged each on its own; columns of ``docs`` pass through, except that one with the name given by ``match`` is replaced.
     Items with equal ids count as one item; items with a null id or text are left out.
     """
     blocks = item_blocks(benchmark, window, item, item_text, block_chars)
-    kept = [c for c in docs.columns if c != "match"]
-    source = docs.select(*kept)
-    schema = T.StructType([*source.schema.fields, T.StructField("_found", FOUND)])
+    source = docs.select(*[F.col(quoted(c)) for c in without(docs, match)])
     kind = _arrow(FOUND)
-    found = source.mapInArrow(lambda batches: _scan(batches, text, blocks, kind), schema)
-    return found.select(*kept, F.col("_found").alias("match"))
+    return map_whole_rows(source, lambda batches, column: _scan(batches, column, blocks, kind), text, T.StructField(match, FOUND))
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -276,4 +314,5 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that hold a benchmark window; see ``find_matches``."""
-    return find_matches(docs, benchmark, **options).where(~F.col("match.contaminated")).drop("match")
+    match = fresh(docs, "match")
+    return find_matches(docs, benchmark, **options, match=match).where(~F.col(f"{match}.contaminated")).drop(match)
