@@ -1,12 +1,14 @@
 import zlib
 from collections import Counter
+from math import comb
+from statistics import NormalDist
 
 import numpy as np
 import pytest
 from pyspark.sql import types as T
 
 from webgauge.llm.queries import op8_sharding
-from webgauge.llm.sharding import _targets, communication_matrix, shard_rows, shard_sizes
+from webgauge.llm.sharding import GROUP, Plan, _hypergeometric, _targets, communication_matrix, shard_rows, shard_sizes
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("shard", T.StringType()), T.StructField("slot", T.StringType())])
 
@@ -28,6 +30,34 @@ def test_matrix_of_very_many_rows():
     assert matrix.sum(axis=1).tolist() == counts and matrix.sum(axis=0).tolist() == sizes.tolist() and (matrix >= 0).all()
 
 
+@pytest.mark.parametrize("good,bad,draws", [(5, 7, 6), (2, 30, 20), (9, 3, 11)])
+def test_small_draws_follow_the_exact_law(good, bad, draws):
+    rng, runs = np.random.default_rng(0), 20_000
+    seen = Counter(_hypergeometric(rng, good, bad, draws) for _ in range(runs))
+    exact = {k: comb(good, k) * comb(bad, draws - k) / comb(good + bad, draws) for k in range(min(good, draws) + 1) if draws - k <= bad}
+    assert set(seen) <= set(exact)
+    likely = {k: p for k, p in exact.items() if p * runs >= 5}
+    assert sum((seen[k] - p * runs) ** 2 / (p * runs) for k, p in likely.items()) < 3 * len(likely) + 15
+
+
+def test_draws_from_three_billion_rows_follow_the_law():
+    good, bad, draws, runs, bins = 10**9, 2 * 10**9, 15 * 10**8, 4000, 40
+    total = good + bad
+    # The law is normal here; half the rows are drawn, so its variance is half that of a binomial.
+    law = NormalDist(draws * good / total, (draws * (good / total) * (bad / total) * (total - draws) / (total - 1)) ** 0.5)
+    rng = np.random.default_rng(0)
+    seen = Counter(int(law.cdf(_hypergeometric(rng, good, bad, draws)) * bins) for _ in range(runs))
+    assert sum((seen[b] - runs / bins) ** 2 / (runs / bins) for b in range(bins)) < 90  # 39 degrees of freedom: p about 1e-5
+
+
+def test_groups_of_partitions_keep_both_margins():
+    counts = {p * 3: p % 7 for p in range(2 * GROUP + 5)}
+    plan = Plan.draw(counts, 4, 9)
+    rows = np.array([plan.row(p) for p in counts])
+    assert rows.sum(axis=1).tolist() == list(counts.values())
+    assert rows.sum(axis=0).tolist() == shard_sizes(sum(counts.values()), 4).tolist()
+
+
 @pytest.mark.parametrize("n,shards", [(0, 3), (1, 3), (2, 5), (200, 7)])
 def test_exact_sizes_gapless_slots_all_rows(spark, n, shards):
     odd = [(None, None, "x", "y"), (1, "", "x", "y"), (1, "", "x", "y"), (2, "L" * 300_000, "x", "y")]

@@ -6,25 +6,33 @@ partition the rows get their shards by a random permutation, then they are excha
 again inside the shard. The result is a uniform permutation of the table, with shard sizes known before
 any row moves.
 
-A shard is not one task: it is exchanged in pieces of bounded size. The piece of a row is drawn together
-with its shard, so the sizes of the pieces, and from them the first slot of each, come from the draws.
+The driver draws the matrix for groups of ``GROUP`` partitions only; a task draws the rows of its group out of the
+group's. So what is sent to the tasks is one number per partition and one row of shards per group.
+
+A shard is not one task: it is exchanged in pieces of bounded size, in rows and in bytes. The piece of a row is drawn
+together with its shard, so the sizes of the pieces, and from them the first slot of each, come from the draws.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webgauge.llm.columns import packed, quoted, unpacked, without
 from webgauge.session import materialize
 
 ROWS_PER_PIECE = 50_000
+BYTES_PER_PIECE = 64 << 20
 LEAST_PIECES = 16
+GROUP = 64
 
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
@@ -32,7 +40,7 @@ def shard_sizes(rows: int, shards: int) -> np.ndarray:
     return rows // shards + (np.arange(shards) < rows % shards)
 
 
-def communication_matrix(counts: list[int], sizes: np.ndarray, seed: int) -> np.ndarray:
+def communication_matrix(counts: list[int], sizes: np.ndarray, seed: int | list[int]) -> np.ndarray:
     """matrix[p, s]: rows that partition p sends to shard s; its margins are ``counts`` and ``sizes``."""
     rng, left = np.random.default_rng(seed), sizes.astype(np.int64).copy()
     matrix = np.zeros((len(counts), len(sizes)), dtype=np.int64)
@@ -48,20 +56,49 @@ def communication_matrix(counts: list[int], sizes: np.ndarray, seed: int) -> np.
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """One draw. Beyond the generator's limit of 10^9 rows, blocks of at most 10^6 are drawn as
-    binomial counts of what is left: their variance is then too large by a thousandth at most."""
-    taken = 0
-    while draws and good:
-        if not bad:
-            return taken + draws
-        block = min(draws, 1_000_000)
-        if good + bad < 1_000_000_000:
-            now = int(rng.hypergeometric(good, bad, block))
-        else:
-            now = int(rng.binomial(block, good / (good + bad)))
-            now = min(max(now, block - bad), good)
-        taken, good, bad, draws = taken + now, good - now, bad - (block - now), draws - block
-    return taken
+    """One draw of any size, by inversion.
+
+    Neighbouring probabilities have the ratio (good - k)(draws - k) / ((k + 1)(bad - draws + k + 1)); they are
+    multiplied up from the mode to where the tail is below any double, and scaled by their sum. No factorial is
+    needed, whose logarithm would lose all digits at 10^9 rows.
+    """
+    low, high = max(0, draws - bad), min(good, draws)
+    if low == high:
+        return low
+    total = good + bad
+    mode = min(max((draws + 1) * (good + 1) // (total + 2), low), high)
+    deviation = (draws * (good / total) * (bad / total) * ((total - draws) / max(1, total - 1))) ** 0.5
+    reach = int(12 * deviation) + 60
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(first, last, dtype=np.float64)
+    steps = np.log(good - k) + np.log(draws - k) - np.log(k + 1) - np.log((bad - draws) + k + 1)
+    log_p = np.concatenate([[0.0], np.cumsum(steps)])
+    below = np.cumsum(np.exp(log_p - log_p.max()))
+    return first + int(np.searchsorted(below, rng.random() * below[-1], side="right"))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """The matrix as tasks need it: rows of each partition, and what each group of partitions sends to each shard."""
+
+    partitions: np.ndarray
+    counts: np.ndarray
+    groups: np.ndarray
+    seed: int
+
+    @classmethod
+    def draw(cls, counts: dict[int, int], shards: int, seed: int) -> Plan:
+        order = sorted(counts)
+        rows = np.array([counts[p] for p in order], dtype=np.int64)
+        sums = np.add.reduceat(rows, np.arange(0, len(rows), GROUP)) if len(rows) else rows
+        return cls(np.array(order, dtype=np.int64), rows, communication_matrix(sums.tolist(), shard_sizes(int(rows.sum()), shards), seed), seed)
+
+    def row(self, partition: int) -> np.ndarray:
+        """Rows that a partition sends to each shard."""
+        at = int(np.searchsorted(self.partitions, partition))
+        group = at // GROUP
+        own = self.counts[group * GROUP : (group + 1) * GROUP]
+        return communication_matrix(own[: at % GROUP + 1].tolist(), self.groups[group], [self.seed, group])[-1]
 
 
 def _targets(partition: int, row: np.ndarray, pieces: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,14 +109,14 @@ def _targets(partition: int, row: np.ndarray, pieces: int, seed: int) -> tuple[n
     return shard, ((key >> 32) * pieces >> 30).astype(np.int32), key
 
 
-def _deal(batches: Iterator[pa.RecordBatch], rows: dict[int, np.ndarray], pieces: int, seed: int) -> Iterator[pa.RecordBatch]:
+def _deal(batches: Iterator[pa.RecordBatch], plan: Broadcast, pieces: int, seed: int) -> Iterator[pa.RecordBatch]:
     held: dict[int, tuple] = {}
     for batch in batches:
         partition, place = (batch.column(c).to_numpy() for c in ("_part", "_row"))
         shard, piece, key = np.empty(len(place), np.int32), np.empty(len(place), np.int32), np.empty(len(place), np.int64)
         for p in np.unique(partition).tolist():
             if p not in held:
-                held = {p: _targets(p, rows[p], pieces, seed)}  # files hold one partition each: seldom redrawn
+                held = {p: _targets(p, plan.value.row(p), pieces, seed)}  # files hold one partition each: seldom redrawn
             mine = partition == p
             for out, drawn in zip((shard, piece, key), held[p]):
                 out[mine] = drawn[place[mine]]
@@ -87,42 +124,54 @@ def _deal(batches: Iterator[pa.RecordBatch], rows: dict[int, np.ndarray], pieces
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard), pa.array(piece), pa.array(key)], [*names, "_shard", "_piece", "_key"])
 
 
+def _bytes(df: DataFrame, columns: list[str]) -> Column:
+    """About the size of a row: the text of its columns and a word for each."""
+    total = F.lit(8 * len(columns)).cast("long")
+    for c in columns:
+        kind, value = df.schema[c].dataType, F.col(quoted(c))
+        if isinstance(kind, T.StringType | T.BinaryType):
+            total = total + F.coalesce(F.octet_length(value), F.lit(0))
+        elif isinstance(kind, T.ArrayType | T.MapType):
+            total = total + 16 * F.coalesce(F.greatest(F.size(value), F.lit(0)), F.lit(0))
+    return total
+
+
 def shard_rows(df: DataFrame, shards: int, *, seed: int = 0, shard: str = "shard", slot: str = "slot") -> DataFrame:
     """Every row of ``df`` with its ``shard`` (0 to ``shards`` - 1) and its ``slot`` in it (gapless from 0).
 
     Shard sizes differ by one at most. Each assignment of rows to slots is equally likely, up to the
     64-bit seed; the same stored input and seed give the same result. Nulls, long texts and repeated
     rows need no care: a row is known by its place in the stored copy of the input. An empty table gives
-    an empty result; columns called ``shard`` or ``slot`` are replaced.
+    an empty result; columns called ``shard`` or ``slot`` are replaced, others pass through whatever their names.
 
     The input is stored once, so that a lost executor finds every row at the same place again.
     """
-    kept = [c for c in df.columns if c not in (shard, slot)]
+    kept = without(df, shard, slot)
     place = F.monotonically_increasing_id()
-    part = F.shiftright(place, 33).cast("int")
-    stored = materialize(df.select(*kept).withColumns({"_part": part, "_row": place.bitwiseAND(F.lit((1 << 33) - 1)).cast("int")}))
-    counts = {r["_part"]: r["count"] for r in stored.groupBy("_part").count().toLocalIterator()}
-    order = sorted(counts)
-    total = sum(counts.values())
-    matrix = communication_matrix([counts[p] for p in order], shard_sizes(total, shards), seed)
-    rows = dict(zip(order, matrix))
-    pieces = max(LEAST_PIECES, -(-total // (shards * ROWS_PER_PIECE)))
-    offsets = _first_slots(df.sparkSession, rows, pieces, seed, len(matrix), shards)
-    schema = T.StructType([*stored.schema.fields, T.StructField("_shard", T.IntegerType()), T.StructField("_piece", T.IntegerType()), T.StructField("_key", T.LongType())])
-    dealt = stored.mapInArrow(lambda batches: _deal(batches, rows, pieces, seed), schema)
+    part = F.shiftright(place, 33).cast("int").alias("_part")
+    row = place.bitwiseAND(F.lit((1 << 33) - 1)).cast("int").alias("_row")
+    stored = materialize(df.select(packed(df, kept), part, row, _bytes(df, kept).alias("_bytes")))
+    sizes = {r["_part"]: (r["n"], r["b"]) for r in stored.groupBy("_part").agg(F.count("*").alias("n"), F.sum("_bytes").alias("b")).toLocalIterator()}
+    rows, size = (sum(s[k] for s in sizes.values()) for k in (0, 1))
+    spark = df.sparkSession
+    plan = spark.sparkContext.broadcast(Plan.draw({p: s[0] for p, s in sizes.items()}, shards, seed))
+    pieces = max(LEAST_PIECES, -(-rows // (shards * ROWS_PER_PIECE)), -(-size // (shards * BYTES_PER_PIECE)))
+    offsets = _first_slots(spark, plan, pieces, seed, len(sizes))
+    source = stored.select("row", "_part", "_row")
+    schema = T.StructType([*source.schema.fields, T.StructField("_shard", T.IntegerType()), T.StructField("_piece", T.IntegerType()), T.StructField("_key", T.LongType())])
+    dealt = source.mapInArrow(lambda batches: _deal(batches, plan, pieces, seed), schema)
     within = F.row_number().over(W.partitionBy("_shard", "_piece").orderBy("_key", "_part", "_row"))
     placed = dealt.withColumn("_in", within).join(offsets, ["_shard", "_piece"])
-    return placed.select(*kept, F.col("_shard").alias(shard), (F.col("_first") + F.col("_in") - 1).cast("long").alias(slot))
+    return placed.select(*unpacked(kept), F.col("_shard").alias(shard), (F.col("_first") + F.col("_in") - 1).cast("long").alias(slot))
 
 
-def _first_slots(spark: SparkSession, rows: dict[int, np.ndarray], pieces: int, seed: int, partitions: int, shards: int) -> DataFrame:
+def _first_slots(spark: SparkSession, plan: Broadcast, pieces: int, seed: int, partitions: int) -> DataFrame:
     """(_shard, _piece, _first): the slot before each piece. Redraws the targets in tasks; reads no table."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = sorted(rows)
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                shard, piece, _ = _targets(order[k], rows[order[k]], pieces, seed)
+            for p in plan.value.partitions[batch.column(0).to_numpy()].tolist():
+                shard, piece, _ = _targets(p, plan.value.row(p), pieces, seed)
                 cell, n = np.unique(shard.astype(np.int64) * pieces + piece, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array((cell // pieces).astype(np.int32)), pa.array((cell % pieces).astype(np.int32)), pa.array(n)], ["_shard", "_piece", "_n"])
 
