@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webgauge.llm.arrays import Words, mix, slices
+from webgauge.llm.columns import packed, quoted, unpacked
 from webgauge.llm.components import connected
 from webgauge.llm.units import root_of, to_batch, units
 from webgauge.session import materialize
@@ -275,13 +276,15 @@ def similar_documents(docs: DataFrame, *, doc: str = "doc_id", text: str = "text
 
 
 def _keyed(doc: str, text: str) -> tuple[Column, Column]:
-    """A text is found again by the hash of it and its id, with a number for a null id."""
-    return F.coalesce(F.col(doc).cast("long"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(F.col(text)).alias("_hash")
+    """A text is found again by the hash of it and its id as text, marked so that a null id is none of the others."""
+    id_ = F.col(quoted(doc))
+    return F.when(id_.isNull(), "null").otherwise(F.concat(F.lit("="), id_.cast("string"))).alias("_id"), F.xxhash64(F.col(quoted(text))).alias("_hash")
 
 
 def _judge(docs: DataFrame, doc: str, text: str, shingle: int, threshold: float, tolerance: float, block_shingles: int) -> DataFrame:
-    source = docs.select(F.col(doc).cast("long").alias("doc_id"), *_keyed(doc, text), F.monotonically_increasing_id().alias("row"), F.col(text).alias("_text"))
-    schema = "doc_id long, _id long, _hash long, row long, set binary, n long, signature binary"
+    source = docs.select(F.col(quoted(doc)).alias("doc_id"), *_keyed(doc, text), F.monotonically_increasing_id().alias("row"), F.col(quoted(text)).alias("_text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, _id string, _hash long, row long, set binary, n long, signature binary"
     prints = materialize(source.mapInArrow(lambda b: _fingerprints(b, shingle), schema))
     # Of a set one row goes on, the smallest (doc_id, row); its row number names the class.
     first = F.min(F.struct("doc_id", "row"))
@@ -304,7 +307,7 @@ def _judge(docs: DataFrame, doc: str, text: str, shingle: int, threshold: float,
     left = materialize(dealt.mapInArrow(lambda b: _prune(b, least, threshold), "bucket long, p int, q int, class long, side int"))
 
     needed = heads.join(left.select("class").distinct(), "class", "left_semi")
-    texts = docs.select(*_keyed(doc, text), F.col(text).alias("_text"))
+    texts = docs.select(*_keyed(doc, text), F.col(quoted(text)).alias("_text"))
     fetched = left.join(needed.join(texts, ["_id", "_hash"]).drop("_id", "_hash"), "class").repartition(*keys).sortWithinPartitions(*keys, "side", "class")
     links = materialize(fetched.mapInArrow(lambda b: _verify(b, shingle, least, threshold), "class long, links long, other long"))
 
@@ -334,8 +337,6 @@ def drop_near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "t
     Rows without words are all kept, but of rows with equal id and text one stays. Columns pass through.
     """
     judged = _judge(docs, doc, text, shingle, threshold, TOLERANCE, BLOCK_SHINGLES)
-    id_, hash_ = _keyed(doc, text)
-    keyed = docs.select("*", id_.alias("_kept_id"), hash_.alias("_kept_hash"))
-    kept = judged.where("kept").select(F.col("_id").alias("_kept_id"), F.col("_hash").alias("_kept_hash"))
-    one = keyed.join(kept, ["_kept_id", "_kept_hash"], "left_semi").dropDuplicates(["_kept_id", "_kept_hash"])
-    return one.select(*docs.columns)
+    keyed = docs.select(packed(docs), *_keyed(doc, text))
+    one = keyed.join(judged.where("kept").select("_id", "_hash"), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+    return one.select(*unpacked(docs.columns))

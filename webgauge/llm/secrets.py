@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webgauge.llm.arrays import offsets_of, slices
+from webgauge.llm.columns import map_whole_rows, quoted, without
 
 #: Kinds in the order of the report; the first three are the plain ones.
 KINDS = ("assign", "access", "hex", "key", "ssh", "token", "wrapped")
@@ -235,7 +236,7 @@ def _scan(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordB
             [{"kind": k, "start": s, "end": e} for k, s, e in spans_of(text or "", candidate)]
             for text, candidate in zip(texts.to_pylist(), long_runs(texts).tolist())
         ]
-        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, ARROW)], [*part.schema.names, "_found"])
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, ARROW)], [*part.schema.names, "secrets"])
 
 
 def find_secrets(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -244,10 +245,8 @@ def find_secrets(docs: DataFrame, *, text: str = "text") -> DataFrame:
     Null and empty texts hold none; repeated rows are scanned each on its own; all columns pass through,
     except that a column ``secrets`` is replaced. Spans of different kinds may overlap.
     """
-    kept = [c for c in docs.columns if c != "secrets"]
-    source = docs.select(*kept)
-    schema = T.StructType([*source.schema.fields, T.StructField("_found", FOUND)])
-    return source.mapInArrow(lambda batches: _scan(batches, text), schema).withColumnRenamed("_found", "secrets")
+    source = docs.select(*[F.col(quoted(c)) for c in without(docs, "secrets")])
+    return map_whole_rows(source, _scan, text, T.StructField("secrets", FOUND))
 
 
 def joined(spans: Column) -> Column:
