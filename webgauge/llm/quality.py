@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webgauge.llm.arrays import Words, offsets_of, run_hashes, slices
+from webgauge.llm.columns import map_whole_rows, quoted
 from webgauge.session import materialize
 
 #: Share of the pooled covariance in a class covariance, and of the diagonal in that.
@@ -27,6 +28,8 @@ TO_POOLED, TO_DIAGONAL = 0.2, 0.1
 PSEUDO_ROWS = 20.0
 #: Scores are spread by this factor: log densities of correlated statistics are too sure of themselves.
 TEMPERATURE = 3.0
+#: Most labels that ``keep_good`` learns from.
+SAMPLE = 200_000
 
 KINDS = ("upper", "lower", "digit", "space", "line", "stop", "symbol", "wide")
 KIND_OF = np.full(256, KINDS.index("symbol"), dtype=np.uint8)
@@ -197,20 +200,24 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id",
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", label: str = "quality", least: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", label: str = "quality", least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` with a score of ``least`` or more, all columns as they are.
 
-    Fits as ``score_documents`` does and then scores each text in place, so texts are never shuffled.
+    Fits as ``score_documents`` does, on at most ``sample`` labels (those with the smallest hashes), and then
+    scores each text in place: texts are never shuffled, and read closely once but for those with labels.
     """
     known = labels.where(F.col(label).isNotNull() & ~held_out(F.col(doc))).select(F.col(doc).alias("_doc"), F.col(label).cast("int").alias("_label"))
-    # Only labelled texts are read closely for the fit.
-    stats = materialize(with_statistics(docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")), "_text"))
+    # At most ``sample`` ids, so they may be broadcast: only texts that have labels are read closely for the fit.
+    known = materialize(known.orderBy(F.xxhash64("_doc", "_label")).limit(sample))
+    labelled = docs.select(F.col(quoted(doc)).alias("_doc"), F.col(quoted(text)).alias("_text"))
+    labelled = labelled.join(F.broadcast(known.select("_doc").distinct()), "_doc", "left_semi")
+    stats = materialize(with_statistics(labelled, "_text"))
     model = fit(class_sums(stats.join(known, "_doc"), "_label", "_stats"))
     if model is None:
         return docs
 
-    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slices(batches, text):
-            yield rows.filter(pa.array(model.scores(statistics(rows.column(text))) >= least))
+    def select(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+        for rows in slices(batches, column):
+            yield rows.filter(pa.array(model.scores(statistics(rows.column(column))) >= least))
 
-    return docs.mapInArrow(select, docs.schema)
+    return map_whole_rows(docs, select, text)
