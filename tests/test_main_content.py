@@ -1,5 +1,7 @@
 """Main content where side elements end without an end tag of their own."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +27,31 @@ BODIES = [
     ("<div>no sides<p>a</div>", "no sidesa", 1),
     ("<header>x</header>k" * 600, "k" * 600, 0),
     ("", "", 0),
+    # Formatting elements go on until their own end tag, in another element too.
+    ("<aside><b></aside>text", "text", 0),
+    ("<p><b class=menu>x</p>y</b>z", "z", 1),
+    ("<b class=menu>x<div>y</b>z</div>w", "zw", 0),
+    ("<b class=menu>x<b>y</b>z</b>w", "w", 0),
+    ("<a class=menu>m<a>n</a>o", "no", 0),
+    ("<p><a class=menu>m</p><p>n</a>o</p>", "o", 2),
+    ("<div><b class=menu>a<div>c</div></div>d</b>e", "e", 0),
+    ("<b class=menu>x<table><tr><td>y</b>z</table>w</b>k", "k", 0),
+    ("<p><i class=nav>x</p><table><tr><td>y</table>z</i>w", "yw", 1),
+    ("<b><span class=nav>x</b>y", "y", 0),
+    # What stands in a table outside its cells belongs in front of it.
+    ("<table>loose<tr><td>cell</table>after", "loosecellafter", 0),
+    ("<table class=nav>loose<tr><td>cell</table>after", "looseafter", 0),
+    ("<p>a<table><tr><td>cell</td>loose</tr></table>b", "aloosecellb", 1),
+    ("<table><tr class=menu>text<td>x</table>k", "textk", 0),
+    ("<table><tr><div class=menu>m</div>t<td>c</table>", "tc", 0),
+    ("<aside><table>x<tr><td>y</table></aside>z", "z", 0),
+    ("<table class=nav><tr><p>para<td>c</table>z", "paraz", 1),
+    ("<table><caption class=menu>m</caption><tr><td>c</table>", "c", 0),
+    ("<table><tr><td>a<table>l<tr><td>b</table></table>", "alb", 0),
+    ("<table><b class=menu>m<tr><td>c</table>k</b>z", "cz", 0),
+    ("<table> <tr> <td>a</td> <td>b</td> </tr> </table>", "  a b  ", 0),
+    ("<table><tr><td>1<tr><td>2</table><table>x<td>3<table><td>4</table>y", "12x34y", 0),
+    ("<table>t<td>1</td>" + "u<td>2</td>" * 300 + "</table>", "t" + "u" * 300 + "1" + "2" * 300, 0),
 ]
 
 
@@ -38,3 +65,13 @@ def found(spark):
 @pytest.mark.parametrize("i", range(len(BODIES)))
 def test_side_elements_end(found, i):
     assert found[i] == BODIES[i][1:]
+
+
+@pytest.mark.parametrize("page,text", [("<div>" * 16_000 + "k", "k"), ("<div class=card><header>h</header><p>k</div>" * 16_000, "k" * 16_000)])
+def test_large_pages_take_time_in_proportion(spark, page, text):
+    df = spark.createDataFrame([(f"<html><body>{page}",)], "html string")
+    part = df.select(main_content(nodes(F.col("html"))).alias("m")).select(text_of(F.col("m.nodes")).alias("text"))
+    part.collect()
+    begin = time.time()
+    assert part.first().text == text
+    assert time.time() - begin < 10

@@ -12,36 +12,17 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webgauge.functions import tree
 from webgauge.functions.text import WS, clean, let, unescape, unprotect
+from webgauge.functions.tree import HEADINGS
 
 # Element groups of the HTML standard.
 RAW_TEXT = ("script", "style", "noscript", "iframe", "noembed", "noframes", "xmp")
 ESCAPABLE_TEXT = ("title", "textarea")
-VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 HEAD_ONLY = (
     "html", "head", "title", "base", "basefont", "bgsound", "link", "meta", "style", "script", "noscript",
     "template", "noframes",
 )
-CLOSES_PARAGRAPH = (
-    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl",
-    "fieldset", "figcaption", "figure", "footer", "header", "hgroup", "main", "menu", "nav", "ol",
-    "section", "summary", "ul", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "listing", "form", "table",
-    "hr", "xmp", "plaintext",
-)
-HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-# Elements that other tags close, and the elements that such a search does not leave.
-TABLE_PARTS = ("caption", "colgroup", "col", "tbody", "thead", "tfoot", "tr", "td", "th")
-SPECIAL = (
-    *CLOSES_PARAGRAPH, "applet", "area", "base", "body", "br", "button", "caption", "col", "colgroup", "dd", "dt",
-    "embed", "head", "html", "iframe", "img", "input", "li", "link", "marquee", "meta", "noembed", "noframes",
-    "noscript", "object", "p", "param", "script", "select", "source", "style", "tbody", "td", "template",
-    "textarea", "tfoot", "th", "thead", "title", "tr", "track", "wbr",
-)
-SCOPE = ("applet", "caption", "html", "table", "td", "th", "marquee", "object", "template")
-BUTTON_SCOPE = (*SCOPE, "button")
-LIST_SCOPE = (*SCOPE, "ol", "ul")
-TABLE_SCOPE = ("html", "table", "template")
-ROW_GROUPS = ("tbody", "thead", "tfoot")
 # What does not belong to the main content of a page.
 SIDE_ELEMENTS = ("nav", "footer", "header", "aside")
 SIDE_CLASSES = ("nav", "menu", "footer", "header")
@@ -168,162 +149,18 @@ def _is_side(n: Column) -> Column:
     return named | (maybe & attribute(opening(n["raw"]), "class").rlike(classes))
 
 
-def _until(names: tuple[str, ...], barriers: tuple[str, ...] = (), upto: bool = False) -> str:
-    """Regex for the innermost open elements through one of ``names`` (or up to it), unless a barrier comes first."""
-    wanted, stop = "|".join(names), "|".join(dict.fromkeys((*names, *barriers)))
-    return rf"^(?:>(?!(?:{stop})>)[^>]++)*+" + (rf"(?=>(?:{wanted})>)" if upto else rf">(?:{wanted})(?=>)")
-
-
-def _after_start(open_: Column, name: Column) -> Column:
-    """Elements still open when a start tag has closed those that it implies."""
-
-    def cut(names: tuple[str, ...], pattern: str, closing: Column) -> tuple[Column, Column]:
-        return name.isin(*names), F.regexp_replace(closing, pattern, "")
-
-    loose = tuple(n for n in SPECIAL if n not in ("address", "div", "p"))
-    rules = [
-        cut(("li",), _until(("li",), loose), open_),
-        cut(("dd", "dt"), _until(("dd", "dt"), loose), open_),
-        cut(("td", "th"), _until(("tr", *ROW_GROUPS, *TABLE_SCOPE), upto=True), open_),
-        cut(("tr",), _until((*ROW_GROUPS, *TABLE_SCOPE), upto=True), open_),
-        cut(("caption", "colgroup", "col", *ROW_GROUPS), _until(TABLE_SCOPE, upto=True), open_),
-        cut(("option",), "^>option(?=>)", open_),
-        cut(("optgroup",), "^(?:>option)?+(?:>optgroup)?+(?=>)", open_),
-        cut(("a",), _until(("a",), SPECIAL), open_),
-    ]
-    closed = F.when(*rules[0])
-    for condition, value in rules[1:]:
-        closed = closed.when(condition, value)
-    closed = closed.otherwise(open_)
-    paragraph = F.regexp_replace(closed, _until(("p",), BUTTON_SCOPE), "")
-    flow = F.when(name.isin("p", "li", "dd", "dt", *CLOSES_PARAGRAPH), paragraph).otherwise(closed)
-    return F.when(name.isin(*HEADINGS), F.regexp_replace(flow, "^>h[1-6](?=>)", "")).otherwise(flow)
-
-
-def _after_end(open_: Column, name: Column) -> Column:
-    """Elements still open after an end tag; it is ignored when its element is not open or not in reach."""
-    at = F.call_function("locate", F.concat(F.lit(">"), name, F.lit(">")), open_)
-
-    def barrier(names: tuple[str, ...]) -> str:
-        return f">(?:{'|'.join(names)})>"
-
-    def left(pos: Column) -> Column:
-        inner = F.substring(open_, F.lit(1), pos)
-        blocked = (
-            F.when(name == "p", inner.rlike(barrier(BUTTON_SCOPE)))
-            .when(name == "li", inner.rlike(barrier(LIST_SCOPE)))
-            .when(name.isin("table", *TABLE_PARTS), inner.rlike(barrier(TABLE_SCOPE)))
-            .when(name.isin("dd", "dt", "button", *CLOSES_PARAGRAPH), inner.rlike(barrier(SCOPE)))
-            .otherwise(inner.rlike(barrier(SPECIAL)))
-        )
-        return F.when((pos == 0) | blocked, open_).otherwise(F.substring(open_, pos + F.length(name) + 1, F.length(open_)))
-
-    return F.when(name.isin(*HEADINGS), F.regexp_replace(open_, _until(HEADINGS, SCOPE), "")).otherwise(let(at, left))
-
-
-def _side_ranges(body: Column) -> Column:
-    """``array<struct<first, last>>``: node positions of the side elements, sorted and disjoint.
-
-    One walk over the tags with the names of the open elements, innermost first, as text: ``>li>ul>``. A side
-    element ends with its own end tag, before an end tag of an element around it, or before a start tag that
-    implies its end. Ranges are gathered in batches, so that the walk stays linear in the page.
-    """
-    void = [f"<{name}" for name in VOID]
-    batch = 256
-    one = "struct<first:int,last:int>"
-    state = f"struct<open:string,base:int,first:int,batch:array<{one}>,full:array<array<{one}>>>"
-
-    def event(n: Column, i: Column) -> Column:
-        return F.struct(
-            i.alias("at"),
-            F.regexp_replace(n["tag"], "^</?", "").alias("name"),
-            F.when(n["tag"].startswith("</"), -1).when(n["tag"].isin(void), 0).otherwise(1).alias("step"),
-            _is_side(n).alias("side"),
-        )
-
-    def step(s: Column, e: Column) -> Column:
-        name, at, outside = e["name"], e["at"], F.lit(-1)
-        start, end = e["step"] >= 0, e["step"] < 0
-        # A part of a table without a table is no element.
-        stray = start & name.isin(*TABLE_PARTS) & ~s["open"].rlike(">(?:table|template)>")
-
-        def after(rest: Column) -> Column:
-            size = F.octet_length(rest)
-            left = (s["base"] >= 0) & (size <= s["base"])
-            own = end & (size == s["base"])
-            ended = F.struct(s["first"].alias("first"), F.when(own, at).otherwise(at - 1).alias("last"))
-            opened = F.when(e["step"] == 1, F.concat(F.lit(">"), name, rest)).otherwise(rest)
-            enters = e["side"] & start & ((s["base"] < 0) | left)
-            alone = F.struct(at.alias("first"), at.alias("last"))
-            both = F.struct(s["first"].alias("first"), at.alias("last"))
-            found = F.when(left & enters & (e["step"] == 0), both).when(left, ended).otherwise(alone)
-            # No cast of the state: it would copy the gathered ranges for every tag.
-            gathers = left | (enters & (e["step"] == 0))
-            fits = F.size(s["batch"]) < batch
-            return F.struct(
-                opened.alias("open"),
-                F.when(enters & (e["step"] == 1), size).when(left, outside).otherwise(s["base"]).alias("base"),
-                F.when(enters, at).otherwise(s["first"]).alias("first"),
-                F.when(~gathers, s["batch"])
-                .when(fits, F.concat(s["batch"], F.array(found)))
-                .otherwise(F.array(found))
-                .alias("batch"),
-                F.when(~gathers | fits, s["full"]).otherwise(F.concat(s["full"], F.array(s["batch"]))).alias("full"),
-            )
-
-        rest = F.when(start, _after_start(s["open"], name)).otherwise(_after_end(s["open"], name))
-        return F.when(stray, s).otherwise(let(rest, after))
-
-    def finish(s: Column) -> Column:
-        tail = F.struct(s["first"].alias("first"), (F.size(body) - 1).alias("last"))
-        ranges = F.concat(F.flatten(s["full"]), s["batch"])
-        return F.when(s["base"] < 0, ranges).otherwise(F.concat(ranges, F.array(tail)))
-
-    def walk(events: Column) -> Column:
-        start = F.struct(F.lit(">"), F.lit(-1), F.lit(0), F.array(), F.array()).cast(state)
-        none = F.array().cast(f"array<{one}>")
-        return F.when(F.exists(events, lambda e: e["side"]), F.aggregate(events, start, step, finish)).otherwise(none)
-
-    tagged = F.filter(F.transform(body, event), lambda e: e["name"] != "")
-    return let(tagged, walk)
-
-
 def main_content(page: Column) -> Column:
-    """``struct<nodes, paragraphs>``: body nodes outside scripts, styles and side elements, and the
-    number of paragraph elements among them.
-
-    A ``</p>`` without an open paragraph makes an empty one, and block tags close an open paragraph.
-    With one letter per tag - p start, q end, b block - that count is all p plus each q not after a p.
-    """
+    """``struct<nodes, paragraphs>``: body nodes outside scripts, styles and side elements, in the order of the
+    document tree, and the number of paragraph elements among them."""
     gone = ["<script", "<style"]
-    block = [edge + name for name in CLOSES_PARAGRAPH for edge in ("<", "</")]
-
-    def letter(n: Column) -> Column:
-        return F.when(n["tag"].isin(block), "b").when(n["tag"] == "<p", "p").when(n["tag"] == "</p", "q").otherwise("")
-
-    def paragraphs(letters: Column) -> Column:
-        return F.length(F.replace(F.replace(letters, F.lit("pq"), F.lit("p")), F.lit("b"), F.lit("")))
-
-    def between(part: Column, ranges: Column, r: Column, i: Column) -> Column:
-        """What stands between the range before ``r`` and ``r``."""
-        end = F.when(i == 0, -1).otherwise(F.get(ranges, i - 1)["last"])
-        return F.slice(part, end + 2, r["first"] - end - 1)
-
-    def behind(part: Column, ranges: Column) -> Column:
-        end = F.coalesce(F.get(ranges, F.size(ranges) - 1)["last"], F.lit(-1))
-        return F.slice(part, end + 2, F.size(part) - end - 1)
-
-    def text(letters: Column, ranges: Column) -> Column:
-        def piece(r: Column, i: Column) -> Column:
-            inside = F.array_join(F.slice(letters, r["first"] + 1, r["last"] - r["first"] + 1), "")
-            return F.concat(F.array_join(between(letters, ranges, r, i), ""), F.translate(inside, "pq", ""))
 
-        return F.concat(F.array_join(F.transform(ranges, piece), ""), F.array_join(behind(letters, ranges), ""))
+    def content(body: Column) -> Column:
+        walked = let(tree.events(body, _is_side), lambda tags: tree.walk(tags, F.size(body) - 1))
+        return let(walked, lambda w: kept(body, w))
 
-    def content(body: Column, ranges: Column) -> Column:
-        pieces = F.flatten(F.transform(ranges, lambda r, i: between(body, ranges, r, i)))
-        kept = F.filter(F.concat(pieces, behind(body, ranges)), lambda n: ~n["tag"].isin(gone))
-        letters = let(F.transform(body, letter), lambda ls: text(ls, ranges))
-        return F.struct(kept.alias("nodes"), let(letters, paragraphs).alias("paragraphs"))
+    def kept(body: Column, w: Column) -> Column:
+        order = tree.in_order(w["ranges"], F.size(body))
+        nodes_ = F.when(F.size(w["ranges"]) == 0, body).otherwise(F.transform(order, lambda i: F.get(body, i)))
+        return F.struct(F.filter(nodes_, lambda n: ~n["tag"].isin(gone)).alias("nodes"), w["paragraphs"].alias("paragraphs"))
 
-    return let(body_nodes(page), lambda body: let(_side_ranges(body), lambda ranges: content(body, ranges)))
+    return let(body_nodes(page), content)
