@@ -49,6 +49,7 @@ def test_top_per_group_both_ways(spark, n):
 
 def test_redirect_chain_bound_and_loop(spark):
     hops = [(f"http://h/{i}", 301, f"/{i + 1}") for i in range(8)] + [("http://h/loop", 302, "/loop"), ("http://h/x", 301, None), ("http://h/y", 301, "http://gone/")]
+    hops += [("http://h/0", 404, None), ("http://h/6", 500, None)]  # repeated answers: the lowest status counts
     df = spark.createDataFrame(hops, REDIRECT_HOPS)
     chains = {r.url: [e.url[9:] for e in r.chain] for r in redirect_chains(df.select("url"), df).collect()}
     assert chains["http://h/0"] == ["0", "1", "2", "3", "4"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webgauge.functions.hosts import PLAIN, parse_host
 from webgauge.functions.text import blank_to_null, let
 
 # Special schemes of the URL standard and their default ports.
@@ -25,10 +26,28 @@ def is_http(url: Column) -> Column:
     return url.startswith("http://") | url.startswith("https://")
 
 
-def ascii_host(host: Column) -> Column:
-    """An international host name in its ASCII form (``xn--``), null when it has none; others as they are."""
-    converted = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host)
-    return F.when(host.rlike(r"[^\x00-\x7F]"), converted).otherwise(host)
+# The part of a URL in front of its host, for absolute and for scheme-relative URLs, and the host in any spelling.
+_HOST = rf"(?is)^((?:(?:{_SPECIAL}):)?[/\\]{{2,}}+(?:[^/\\?#]*@)?|(?:{_SPECIAL}):[/\\]*+(?:[^/\\?#]*@)?)(\[[^\]/\\?#]*\]|[^/\\?#:]*)"
+
+
+def stripped(reference: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(reference, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+
+
+def standard_host(reference: Column) -> Column:
+    """A URL or reference whose host, if it has one, is written as the standard does.
+
+    Every other function here expects that. A host that is not valid becomes one that none of them takes. The
+    expression is large, so a row should go through it once, with all its URLs in one array.
+    """
+
+    def written(text: Column) -> Column:
+        host, front = F.regexp_extract(text, _HOST, 2), F.regexp_extract(text, _HOST, 1)
+        rest = F.substring(text, F.length(front) + F.length(host) + 1, F.length(text))
+        changed = F.concat(front, F.coalesce(let(F.lower(host), parse_host), F.lit("%")), rest)
+        return F.when((host == "") | host.rlike("(?i)" + PLAIN), text).otherwise(changed)
+
+    return let(stripped(reference), written)
 
 
 def split_url(url: Column) -> Column:
@@ -44,7 +63,7 @@ def split_url(url: Column) -> Column:
     fields = F.struct(
         F.lower(part(1)).alias("scheme"),
         part(2).alias("creds"),
-        let(F.lower(part(3)), ascii_host).alias("host"),
+        F.lower(part(3)).alias("host"),
         port(F.lower(part(1))).alias("port"),
         part(5).alias("path"),
         part(6).alias("query"),
@@ -127,8 +146,7 @@ def join_url(reference: Column, base: Column) -> Column:
     def opaque(ref: Column) -> Column:
         return ref.rlike(rf"^(?i)(?!(?:{_SPECIAL}):)[a-z][a-z0-9+.-]*:")
 
-    stripped = F.regexp_replace(F.regexp_replace(reference, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
-    pair = F.struct(stripped.alias("ref"), split_url(base).alias("base"))
+    pair = F.struct(stripped(reference).alias("ref"), split_url(base).alias("base"))
     return let(pair, lambda x: F.when(opaque(x["ref"]), x["ref"]).otherwise(normalize(resolve(x["ref"], x["base"]))))
 
 

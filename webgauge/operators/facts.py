@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webgauge.functions import html as H
 from webgauge.functions.text import blank_to_null, clean, let, utf16_length
-from webgauge.functions.urls import host_of, is_http, join_url, normalize
+from webgauge.functions.urls import host_of, is_http, join_url, normalize, standard_host
 from webgauge.operators.performance import performance_metrics
 
 # Error texts of the result document.
@@ -176,15 +176,16 @@ def _href(*rels: str) -> Column:
     return F.get(F.filter("links", lambda tag: tag["rel"].isin(*rels)), F.lit(0))["href"]
 
 
-def link_kinds(hrefs: Column, url: Column, strict_links: bool = False) -> Column:
-    """``struct<internal, external>`` link counts.
+def link_kinds(hrefs: Column, targets: Column, url: Column, strict_links: bool = False) -> Column:
+    """``struct<internal, external>`` link counts; ``targets`` are the links and ``url`` the page with standard hosts.
 
     A link starting with ``//`` counts as internal, as any other leading slash does;
     ``strict_links`` judges it by its host instead.
     """
 
-    def kind(href: Column, host: Column) -> Column:
-        absolute = F.when(href.startswith("//"), F.concat(F.lit("http:"), href)).otherwise(href)
+    def kind(href: Column, i: Column, host: Column) -> Column:
+        standard = F.get(targets, i)
+        absolute = F.when(standard.startswith("//"), F.concat(F.lit("http:"), standard)).otherwise(standard)
         target = let(
             host_of(absolute),
             lambda h: F.when(h.isNull(), F.lit(None).cast("string"))
@@ -201,30 +202,39 @@ def link_kinds(hrefs: Column, url: Column, strict_links: bool = False) -> Column
 
         return F.struct(count("internal"), count("external"))
 
-    return let(host_of(url), lambda host: let(F.transform(hrefs, lambda h: kind(h, host)), tally))
+    return let(host_of(url), lambda host: let(F.transform(hrefs, lambda h, i: kind(h, i, host)), tally))
 
 
 @lru_cache
-def _derived_columns(strict_links: bool) -> dict[str, Column]:
+def _derived_columns() -> dict[str, Column]:
     usable, url = F.col("usable"), F.col("url")
+    canonical, icon = clean(_href("canonical")), blank_to_null(_href("icon", "shortcut icon"))
     return {
             "meta_description": clean(_meta("name", "description")),
-            "canonical": clean(_href("canonical")),
-            "favicon_href": blank_to_null(_href("icon", "shortcut icon")),
+            "canonical": canonical,
+            "favicon_href": icon,
+            # All URLs of a page, so that hosts are brought into standard form in one place.
+            "standard": F.transform(F.concat(F.array(url, canonical, icon), "hrefs"), standard_host),
             "content": F.when(usable, H.main_content(F.col("page"))),
             "structured_data": F.concat(
                 F.transform("json_ld_bodies", json_ld_block),
                 _presence("Microdata", F.col("has_microdata")),
                 _presence("RDFa", F.col("has_rdfa")),
             ),
-            "kinds": link_kinds(F.col("hrefs"), url, strict_links),
             "viewport": blank_to_null(_meta("name", "viewport")),
     }
 
 
+@lru_cache
+def _kinds(strict_links: bool) -> Column:
+    targets = F.slice(F.col("standard"), 4, F.size("standard"))
+    return let(targets, lambda ts: link_kinds(F.col("hrefs"), ts, F.get("standard", F.lit(0)), strict_links))
+
+
 @lru_cache
 def _fact_columns() -> list[Column | str]:
     usable, url = F.col("usable"), F.col("url")
+    page, canonical, icon = (F.get("standard", F.lit(k)) for k in range(3))
     alternates = F.filter(
         "links", lambda tag: (tag["rel"] == "alternate") & (tag["hreflang"] != "") & (tag["href"] != "")
     )
@@ -246,8 +256,8 @@ def _fact_columns() -> list[Column | str]:
         clean(_meta("name", "twitter:title")).alias("twitter_title"),
         clean(_meta("name", "twitter:description")).alias("twitter_description"),
         "canonical",
-        F.when(F.col("canonical").isNotNull(), join_url(F.col("canonical"), url)).alias("canonical_target"),
-        F.when(F.col("canonical").isNotNull(), normalize(url)).alias("canonical_self"),
+        F.when(F.col("canonical").isNotNull(), join_url(canonical, page)).alias("canonical_target"),
+        F.when(F.col("canonical").isNotNull(), normalize(page)).alias("canonical_self"),
         clean(_meta("name", "robots")).alias("robots"),
         F.when(F.size(hreflang) > 0, hreflang).alias("hreflang"),
         F.when(F.size("structured_data") > 0, F.col("structured_data")).alias("structured_data"),
@@ -258,7 +268,7 @@ def _fact_columns() -> list[Column | str]:
         "viewport",
         F.when(usable, F.col("viewport").isNotNull()).alias("mobile_friendly"),
         F.col("favicon_href").isNotNull().alias("has_favicon"),
-        F.when(F.col("favicon_href").isNotNull(), join_url(F.col("favicon_href"), url)).alias("favicon"),
+        F.when(F.col("favicon_href").isNotNull(), join_url(icon, page)).alias("favicon"),
         F.when(usable, url.startswith("https://")).alias("https"),
         "page_size",
         "minified",
@@ -281,4 +291,5 @@ def page_facts(crawl: DataFrame, strict_links: bool = False) -> DataFrame:
     """
     crawl.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     elements = page_elements(parsed_pages(crawl))
-    return elements.withColumns(_derived_columns(strict_links)).select(*_fact_columns())
+    derived = elements.withColumns(_derived_columns()).withColumn("kinds", _kinds(strict_links))
+    return derived.select(*_fact_columns())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webgauge.functions.text import let
-from webgauge.functions.urls import join_url, resolve_link, split_url
+from webgauge.functions.urls import join_url, resolve_link, split_url, standard_host
 from webgauge.operators.skew import lookup_join
 from webgauge.session import materialize
 
@@ -17,6 +17,11 @@ UNCHECKED = "^(?:#|mailto:|tel:)"
 MAX_REDIRECTS = 5
 
 
+def _page() -> Column:
+    """``struct<url, parts>`` of the page that links stand in."""
+    return let(standard_host(F.col("url")), lambda url: F.struct(url.alias("url"), split_url(url).alias("parts")))
+
+
 @lru_cache
 def _references(kind: str) -> Column:
     """Resolved targets in document order with their multiplicity; unresolvable ones are dropped."""
@@ -24,7 +29,7 @@ def _references(kind: str) -> Column:
         references = F.filter("image_sources", lambda s: s != "")
     else:
         references = F.filter("hrefs", lambda h: ~h.rlike(UNCHECKED))
-    page = F.struct(F.col("url").alias("url"), split_url(F.col("url")).alias("parts"))
+    page = _page()
     resolved = let(page, lambda p: F.transform(references, lambda r: resolve_link(r, p["url"], p["parts"])))
     return F.filter(resolved, lambda t: t.isNotNull())
 
@@ -63,7 +68,7 @@ def link_edges(pages: DataFrame) -> DataFrame:
 
 @lru_cache
 def _resolved_pairs() -> Column:
-    page = F.struct(F.col("url").alias("url"), split_url(F.col("url")).alias("parts"))
+    page = _page()
 
     def pair(h: Column, p: Column) -> Column:
         return F.struct(h.alias("href"), resolve_link(h, p["url"], p["parts"]).alias("target"))
@@ -138,24 +143,32 @@ def with_broken_links(pages: DataFrame, link_status: DataFrame | None, edges: Da
 @lru_cache
 def _next_url() -> Column:
     moves = F.col("status").between(300, 399) & (F.col("location") != "")
-    return F.when(moves, join_url(F.col("location"), F.col("current")))
+    standard = F.transform(F.array("location", "current"), standard_host)
+    return F.when(moves, let(standard, lambda s: join_url(F.get(s, F.lit(0)), F.get(s, F.lit(1)))))
+
+
+def hop_answers(hops: DataFrame) -> DataFrame:
+    """One row per URL: its status and where it leads. Of repeated answers the one with the lowest status counts."""
+    one = hops.groupBy(F.col("url").alias("current")).agg(F.min(F.struct("status", "location")).alias("answer"))
+    return materialize(one.select("current", "answer.*").select("current", "status", _next_url().alias("next")))
 
 
 def redirect_chains(starts: DataFrame, hops: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:
     """Follow each ``url`` of ``starts`` through ``hops`` for at most ``max_redirects`` answers.
 
     A chain ends at an answer that is no redirect, has no location, or is not known; the bound ends
-    loops. Only chains that still move go into the next round, so the rounds shrink quickly.
+    loops. Only chains that still move go into the next round, so the rounds shrink quickly. Where an answer leads
+    is worked out once per URL, not once per chain and round.
     """
     entry = "array<struct<url:string,status:int>>"
     moving = starts.select("url", F.col("url").alias("current"), F.array().cast(entry).alias("chain"))
     done = moving.select("url", "chain").limit(0)
-    answers = hops.select(F.col("url").alias("current"), "status", "location")
+    answers = hop_answers(hops)
     for _ in range(max_redirects):
         step = F.array(F.struct(F.col("current").alias("url"), F.col("status").cast("int").alias("status")))
         chain = F.when(F.col("status").isNull(), F.col("chain")).otherwise(F.concat("chain", step))
         answered = lookup_join(moving, answers, "current", "left")
-        grown = materialize(answered.select("url", _next_url().alias("current"), chain.alias("chain")))
+        grown = materialize(answered.select("url", F.col("next").alias("current"), chain.alias("chain")))
         done = done.unionByName(grown.where(F.col("current").isNull()).select("url", "chain"))
         moving = grown.where(F.col("current").isNotNull())
         if moving.isEmpty():
