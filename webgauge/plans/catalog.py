@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from webgauge.operators import content, facts, links, rules, score, site, sitemaps
 from webgauge.plans import audit as plan
 from webgauge.plans import report
-from webgauge.session import deal_single_split, materialize
+from webgauge.session import deal_few_splits, materialize
 from webgauge.sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +28,7 @@ def query(build: Query) -> Query:
 
 
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deal_single_split(fixtures.crawl(spark, sf_dir))
+    return deal_few_splits(fixtures.crawl(spark, sf_dir))
 
 
 def page_facts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -64,7 +64,7 @@ def stored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def full_audit(spark: SparkSession, sf_dir: str, score_broken_links: bool = False) -> DataFrame:
     """The stored audit: page table, link edges, their check results, then the cross-page part."""
-    pages = plan.page_table(fixtures.crawl(spark, sf_dir))
+    pages = plan.page_table(crawl(spark, sf_dir))
     edges = materialize(links.link_edges(fetched(pages)))
     status = materialize(statuses(edges))
     return materialize(plan.audit_pages(pages, status, edges, score_broken_links))
@@ -215,7 +215,7 @@ def thin_content(spark, sf_dir):
 
 def document_metrics_of(spark, sf_dir):
     docs = spark.read.schema("doc_id bigint, text string").parquet(f"{sf_dir}/documents.parquet")
-    return materialize(content.with_text_metrics(deal_single_split(docs), "text").drop("text", "keyword_counts"))
+    return materialize(content.with_text_metrics(deal_few_splits(docs), "text").drop("text", "keyword_counts"))
 
 
 @query
@@ -236,7 +236,7 @@ def document_top_keywords(spark, sf_dir):
 def unicode_keywords(spark, sf_dir):
     """Top keywords with the letters of all scripts."""
     docs = spark.read.schema("doc_id bigint, text string").parquet(f"{sf_dir}/documents.parquet")
-    measured = content.with_text_metrics(deal_single_split(docs), "text", unicode_keywords=True)
+    measured = content.with_text_metrics(deal_few_splits(docs), "text", unicode_keywords=True)
     rows = materialize(measured.select("doc_id", "top_keywords")).select("doc_id", F.posexplode("top_keywords").alias("pos", "k"))
     return rows.select("doc_id", (F.col("pos") + 1).alias("rank"), "k.word", F.col("k.count").alias("count"), "k.density")
 
@@ -402,15 +402,24 @@ def scored(spark, sf_dir):
     return score.seo_score(plan.page_table(crawl(spark, sf_dir)))
 
 
-@query
-def recommendations(spark, sf_dir):
-    pages = scored(spark, sf_dir)
+def long_recommendations(pages):
     rows = pages.select("site", "url", F.posexplode_outer("recommendations").alias("pos", "r")).where(F.col("pos").isNotNull())
     return rows.select(
         "site", "url", "pos", "r.code", "r.priority", "r.category", "r.detail", "r.points", "r.issue", "r.recommendation", "r.impact"
     )
 
 
+@query
+def recommendations(spark, sf_dir):
+    return long_recommendations(scored(spark, sf_dir))
+
+
+@query
+def recommendations_with_links(spark, sf_dir):
+    """Recommendations when broken links count as well."""
+    return long_recommendations(full_audit(spark, sf_dir, score_broken_links=True))
+
+
 @query
 def seo_score(spark, sf_dir):
     return scored(spark, sf_dir).select("site", "url", "score", "grade")

@@ -46,10 +46,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def deal_single_split(df: DataFrame) -> DataFrame:
-    """Deal a table that is read as one split to all cores.
+def deal_few_splits(df: DataFrame) -> DataFrame:
+    """Deal a table that is read as fewer splits than there are cores to all of them.
 
-    One split is at most ``spark.sql.files.maxPartitionBytes``, so this shuffle is small by construction.
-    Larger tables keep their splits: to use more cores there, lower that setting instead of shuffling pages.
+    A split is at most ``spark.sql.files.maxPartitionBytes``, so this shuffle moves less than one wave of tasks reads.
+    Splits are ranges of bytes, and those without the start of a row group stay empty: that a small table has several
+    does not say that several tasks would have work. Larger tables keep their splits: to use more cores there, lower
+    that setting instead of shuffling pages.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

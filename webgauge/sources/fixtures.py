@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webgauge.sources import bounds
+
 SITE = "regexp_extract(url, '^https?://[^/?#]*?([^./?#]+[.][^./?#]+)(?:[/?#]|$)', 1)"
 HOST = "regexp_extract(url, '^https?://([^/?#]*)', 1)"
 _P = "CAST(page_id AS VARCHAR(20))"
@@ -65,7 +67,7 @@ CRAWL_EXPRESSIONS = {
     "location": "CASE WHEN page_id % 20 IN (3, 13) THEN url || '?r=1' END",
     "final_status": """CAST(CASE WHEN page_id % 20 IN (3, 13, 17)
                        THEN CASE WHEN page_id % 40 = 23 THEN 500 ELSE 200 END END AS INT)""",
-    "html": f"replace(replace(html, '</head>', {HEAD} || '</head>'), '<footer', {BODY} || '<footer')",
+    "html": bounds.with_cases(f"replace(replace(html, '</head>', {HEAD} || '</head>'), '<footer', {BODY} || '<footer')"),
     "content_encoding": "CASE page_id % 5 WHEN 1 THEN 'gzip' WHEN 2 THEN 'br' WHEN 3 THEN 'deflate' WHEN 4 THEN 'zstd' END",
     "cache_control": "CASE WHEN page_id % 3 = 1 THEN 'max-age=3600' END",
     "expires": "CASE WHEN page_id % 7 = 2 THEN 'Thu, 01 Jan 2032 00:00:00 GMT' END",
