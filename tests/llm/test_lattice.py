@@ -75,6 +75,11 @@ def test_equals_brute_force_on_odd_rows(spark, block):
     assert got(similar_vectors(df, block=block)) == brute(rows)
 
 
+def test_lower_threshold_is_refused(spark):
+    with pytest.raises(ValueError):
+        similar_vectors(spark.createDataFrame([], VECTORS), threshold=0.9)
+
+
 def test_empty_table(spark):
     assert similar_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 

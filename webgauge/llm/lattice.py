@@ -245,6 +245,8 @@ def similar_vectors(vectors: DataFrame, *, vec: str = "vec_id", embedding: str =
     smaller than all others and is given back as null; a row with one is kept only if it is its own component.
     Other columns are not used. ``threshold`` may be raised but not lowered: the sketches are made for 0.95.
     """
+    if threshold < THRESHOLD:
+        raise ValueError(f"the tables and sketches find links from a cosine of {THRESHOLD} on, not {threshold}")
     source = vectors.select(F.col(vec).alias("vec_id"), F.monotonically_increasing_id().alias("row"), F.col(embedding).cast("array<double>").alias("_v"))
     kind = source.schema["vec_id"].dataType.simpleString()
     stored = materialize(source.mapInArrow(_vectors, f"vec_id {kind}, row long, vector binary"))

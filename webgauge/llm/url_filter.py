@@ -44,7 +44,7 @@ def _rest(url: Column) -> Column:
 def canonical(host: Column, path: Column) -> Column:
     """Host without ``www.`` or ``m.`` and path without ``/``, ``.html`` or ``index`` at its end: one text for one page."""
     plain = F.regexp_replace(host, r"^(?:www|m)\.", "")
-    return F.concat(plain, F.regexp_replace(path, r"(?:/index)?(?:\.html?)?/*$", ""))
+    return F.concat(plain, F.regexp_replace(path, r"(?:/index)?(?:\.html?)?/*\z", ""))
 
 
 def _rule_key(domain: Column, beginning: Column) -> Column:
