@@ -1,5 +1,7 @@
 """Character references, JSON-LD, host names, link results and written results against given values."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from webgauge.operators.sitemaps import listed_locations, site_urls
 from webgauge.plans.audit import page_audit, page_metrics, site_audit
 from webgauge.sources import fixtures
 from webgauge.sources.crawl import CRAWL, LINK_STATUS, SITEMAP_DOCS
-from webgauge.sources.sinks import write_result_document
+from webgauge.session import materialize
+from webgauge.sources.sinks import write_documents, write_result_document
 
 SF_DIR = "/root/testdata/sf0.001"
 TEXTS = {
@@ -29,6 +32,9 @@ BLOCKS = {
     '{"@type":"","@type":"A"}': (True, None),
     '{"@type":"A","@type":""}': (False, ["Chybí @type nebo @context"]),
     '{"@type":"A","b":{"c":1,"c":2}}': (True, None),
+    '[{"@type":"A","x":1,"x":2},{"a":1,"a":2}]': (False, ["Položka 2: chybí @type nebo @context"]),
+    '{"a":1,"a":2} {"b":1}': (False, ["Neplatný JSON"]),
+    '{"a":1,"a":2': (False, ["Neplatný JSON"]),
     '{"@type":"A",}': (False, ["Neplatný JSON"]),
 }
 
@@ -50,7 +56,7 @@ def test_character_references(spark):
 def test_of_a_repeated_json_key_the_last_value_counts(spark):
     pages = [f'<script type="application/ld+json">{b}</script>' for b in BLOCKS]
     rows = page_audit(crawl_of(spark, pages)).select("url", "structured_data").collect()
-    rows = sorted(rows, key=lambda r: r.url)
+    rows = sorted(rows, key=lambda r: int(r.url.rsplit("/", 1)[1]))
     assert [(r.structured_data[0].valid, r.structured_data[0].errors) for r in rows] == list(BLOCKS.values())
 
 
@@ -85,6 +91,12 @@ def test_the_page_table_is_fed_without_a_shuffle(spark):
     assert "html" in plan and "Exchange" not in plan
 
 
+def test_no_setting_of_the_session_is_changed(spark):
+    before = dict(spark.conf.getAll)
+    page_audit(crawl_of(spark, ["<p>"])).collect()
+    assert dict(spark.conf.getAll) == before
+
+
 @pytest.fixture(scope="module")
 def document(spark, tmp_path_factory):
     path = f"{tmp_path_factory.mktemp('document')}/result"
@@ -103,3 +115,18 @@ def test_the_written_document_holds_every_part(spark, document):
     assert read("sitemap_check").first().issues == ["x"]
     top = {r.code: r.pages for r in read("top_issues").collect()}
     assert top["NO_H1"] == 3 and top["DUPLICATE_TITLE"] == 2
+
+
+def test_documents_are_valid_json(spark, tmp_path):
+    checks = spark.createDataFrame([("s", True, ["x"])], "site string, valid boolean, issues array<string>")
+    pages = ["<title>Same \"q\"</title>"] * 2 + ["<title>Other</title>"] * 2 + ["<title>One</title>"]
+    rows = [("s" if i else "t.cz", f"https://s.cz/{i}", 200, None, None, html, None, None) for i, html in enumerate(pages)]
+    audit = materialize(site_audit(spark.createDataFrame(rows, CRAWL)))
+    write_documents(audit, f"{tmp_path}/doc", sitemap_check=checks)
+    read = lambda site: json.loads("".join(p.read_text() for p in sorted((tmp_path / "doc" / f"site={site}").glob("part-*"))))
+    s, t = read("s"), read("t.cz")
+    assert s["site"] == "s" and t["site"] == "t.cz" and t["results"][0]["url"] == "https://s.cz/0"
+    assert [r["url"] for r in s["results"]] == [f"https://s.cz/{i}" for i in range(1, 5)]
+    assert s["sitemapCheck"] == {"valid": True, "issues": ["x"]} and t["sitemapCheck"] is None and s["robotsCheck"] is None
+    assert s["duplicateTitles"] == [{"title": "Other", "pages": 2}] and t["duplicateTitles"] == []
+    assert s["statistics"]["total_pages"] == 4 and s["topIssues"][0]["pages"] == 4

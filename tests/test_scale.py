@@ -80,6 +80,19 @@ def test_sitemap_cycle_ends(spark):
     assert {(r.sitemap_url, r.depth) for r in expand(roots, docs).collect()} == {("a", 0), ("b", 1), ("gone", 1), ("c", 2)}
 
 
+def test_long_chain_of_sitemaps_keeps_its_plan(spark):
+    def index(url):
+        return f"<sitemapindex><sitemap><loc>{url}</loc></sitemap></sitemapindex>"
+
+    lengths = []
+    for n in (3, 12):
+        docs = spark.createDataFrame([("s", f"m{i}", 200, "xml", index(f"m{i + 1}")) for i in range(n)], SITEMAP_DOCS)
+        found = expand(spark.createDataFrame([("s", "m0")], "site string, sitemap_url string"), docs)
+        assert sorted((r.depth, r.sitemap_url) for r in found.collect()) == [(i, f"m{i}") for i in range(n + 1)]
+        lengths.append(len(found._jdf.queryExecution().optimizedPlan().toString()))
+    assert lengths[0] == lengths[1]
+
+
 def test_unreachable_grades(spark):
     df = spark.createDataFrame([(90,), (89,), (75,), (74,), (60,), (59,), (40,), (39,)], "s int")
     assert [r[0] for r in df.select(grade_of(F.col("s"))).collect()] == list("ABBCCDDF")

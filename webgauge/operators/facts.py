@@ -72,12 +72,26 @@ def _truthy(v: Column, key: str) -> Column:
     )
 
 
+def _truthy_text(m: Column, key: str) -> Column:
+    """The same for a map of texts, where of a repeated key the last value counts."""
+    values = F.map_values(m)
+    last = F.try_element_at(F.filter(F.transform(F.map_keys(m), lambda k, i: F.when(k == key, F.get(values, i))), lambda v: v.isNotNull()), F.lit(-1))
+    return F.coalesce(~last.isin("", "false", "null") & ~last.rlike(r"^-?0(?:\.0*)?(?:[eE][+-]?[0-9]+)?$"), F.lit(False))
+
+
 def json_ld_block(body: Column) -> Column:
-    """``struct<type, data, valid, errors>`` of one JSON-LD script body."""
+    """``struct<type, data, valid, errors>`` of one JSON-LD script body.
+
+    Whether the parser for variants takes repeated keys depends on a setting of the session, which is the caller's.
+    Bodies that it refuses are read once more as maps of texts, and there the last value of a key counts.
+    """
 
     def lacks_keys(v: Column) -> Column:
         return ~_truthy(v, "@type") & ~_truthy(v, "@context")
 
+    def lacks_texts(m: Column) -> Column:
+        return ~_truthy_text(m, "@type") & ~_truthy_text(m, "@context")
+
     def is_void(v: Column) -> Column:
         return F.schema_of_variant(v) == "VOID"
 
@@ -89,21 +103,32 @@ def json_ld_block(body: Column) -> Column:
             errors.cast("array<string>").alias("errors"),
         )
 
+    def of_items(items: Column, lacks) -> Column:
+        marked = F.transform(items, lambda item, i: F.when(lacks(item), F.format_string(JSON_LD_ITEM_MISSING_KEYS, i + 1)))
+        return F.filter(marked, lambda e: e.isNotNull())
+
+    def of_one(value: Column, lacks) -> Column:
+        return F.when(lacks(value), F.array(F.lit(JSON_LD_MISSING_KEYS))).otherwise(F.array().cast("array<string>"))
+
+    def repeated() -> Column:
+        """Errors of a body with repeated keys, null for one that is not JSON."""
+        one = F.from_json(F.concat(F.lit("["), body, F.lit(",{}]")), "array<map<string,string>>")
+        many = F.from_json(F.concat(F.lit("["), body, F.lit(",[]]")), "array<array<map<string,string>>>")
+
+        def read(x: Column) -> Column:
+            single, listed = F.get(x["one"], F.lit(0)), F.get(x["many"], F.lit(0))
+            whole = lambda values: F.size(values) == 2
+            items = F.when(whole(x["many"]) & listed.isNotNull() & ~F.exists(listed, lambda m: m.isNull()), of_items(listed, lacks_texts))
+            return F.when(whole(x["one"]) & single.isNotNull(), of_one(single, lacks_texts)).otherwise(items)
+
+        return let(F.struct(one.alias("one"), many.alias("many")), read)
+
     def check(v: Column, items: Column) -> Column:
-        of_items = F.filter(
-            F.transform(
-                items,
-                lambda item, i: F.when(lacks_keys(item), F.format_string(JSON_LD_ITEM_MISSING_KEYS, i + 1)),
-            ),
-            lambda e: e.isNotNull(),
-        )
-        single = F.when(lacks_keys(v), F.array(F.lit(JSON_LD_MISSING_KEYS))).otherwise(F.array().cast("array<string>"))
-        errors = F.when(items.isNotNull(), of_items).otherwise(single)
-        unparsable = v.isNull() | is_void(v) | F.coalesce(F.exists(items, is_void), F.lit(False))
+        parsed = F.when(items.isNotNull(), of_items(items, lacks_keys)).otherwise(of_one(v, lacks_keys))
+        void = is_void(v) | F.coalesce(F.exists(items, is_void), F.lit(False))
+        errors = F.when(v.isNull(), repeated()).when(void, None).otherwise(parsed)
         broken = block(False, F.lit("{}"), F.array(F.lit(JSON_LD_UNPARSABLE)))
-        return F.when(unparsable, broken).otherwise(
-            let(errors, lambda e: block(F.size(e) == 0, body, F.when(F.size(e) > 0, e)))
-        )
+        return let(errors, lambda e: F.when(e.isNull(), broken).otherwise(block(F.size(e) == 0, body, F.when(F.size(e) > 0, e))))
 
     # The sentinel behind the body rejects trailing text, which the JSON reader alone would accept.
     wrapped = F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"end"]'))).try_cast("array<variant>")
@@ -285,11 +310,7 @@ def _fact_columns() -> list[Column | str]:
 
 
 def page_facts(crawl: DataFrame, strict_links: bool = False) -> DataFrame:
-    """Facts of every crawled page; all fact columns are null for pages that were not fetched.
-
-    Sets the session to read JSON as a script does: of a repeated key the last value counts.
-    """
-    crawl.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    """Facts of every crawled page; all fact columns are null for pages that were not fetched."""
     elements = page_elements(parsed_pages(crawl))
     derived = elements.withColumns(_derived_columns()).withColumn("kinds", _kinds(strict_links))
     return derived.select(*_fact_columns())

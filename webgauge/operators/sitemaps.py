@@ -9,7 +9,7 @@ from webgauge.functions.text import let, trim
 from webgauge.functions.urls import is_http
 from webgauge.operators.rules import fired
 from webgauge.operators.skew import ranked, top_per_group
-from webgauge.session import materialize
+from webgauge.session import GrowingTable, materialize
 
 # Where sitemaps are looked for, in this order; the check only tries the first two.
 STANDARD_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap1.xml")
@@ -122,16 +122,16 @@ def expand(roots: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _walk(roots: DataFrame, children: DataFrame) -> DataFrame:
+    """Breadth first. What was visited is one growing table: each round adds its files, so plans stay as they are."""
     start = roots.where(F.col("sitemap_url").isNotNull()).select("site", "sitemap_url", F.lit(0).alias("depth"))
-    visited = frontier = materialize(start.distinct())
+    visited = GrowingTable(start.distinct())
     depth = 0
-    while not frontier.isEmpty():
+    while not visited.last.isEmpty():
         depth += 1
-        found = frontier.join(children, ["site", "sitemap_url"]).select("site", F.col("child").alias("sitemap_url"))
-        fresh = found.distinct().join(visited, ["site", "sitemap_url"], "left_anti")
-        frontier = materialize(fresh.withColumn("depth", F.lit(depth)))
-        visited = visited.unionByName(frontier)
-    return visited
+        found = visited.last.join(children, ["site", "sitemap_url"]).select("site", F.col("child").alias("sitemap_url"))
+        fresh = found.distinct().join(visited.read(), ["site", "sitemap_url"], "left_anti")
+        visited.add(fresh.withColumn("depth", F.lit(depth)))
+    return visited.read()
 
 
 def site_urls(roots: DataFrame, docs: DataFrame) -> DataFrame:

@@ -46,6 +46,28 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class GrowingTable:
+    """A table in the shared folder that a loop adds rows to; ``last`` holds the rows that were added last.
+
+    Each addition is a folder of its own under one root, written once: a plan over all of them is a single scan however
+    many rounds there were, and a task that is run again writes its own folder again.
+    """
+
+    def __init__(self, first: DataFrame):
+        self.spark, self.rounds = first.sparkSession, 0
+        self.root = f"{shared_dir(self.spark)}/rounds-{uuid.uuid4().hex}"
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> None:
+        path = f"{self.root}/round={self.rounds}"
+        rows.write.parquet(path)
+        self.schema, self.rounds = rows.schema, self.rounds + 1
+        self.last = self.spark.read.schema(self.schema).parquet(path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.root).select(*self.schema.names)
+
+
 def deal_few_splits(df: DataFrame) -> DataFrame:
     """Deal a table that is read as fewer splits than there are cores to all of them.
 
