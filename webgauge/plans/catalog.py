@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from webgauge.operators import content, facts, links, rules, score, site, sitemaps
 from webgauge.plans import audit as plan
 from webgauge.plans import report
-from webgauge.session import deal_few_splits, materialize
-from webgauge.sources import fixtures
+from webgauge.session import deal_few_splits, materialize, shared_dir
+from webgauge.sources import fixtures, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -514,6 +515,31 @@ def site_results(spark, sf_dir):
     return site.site_results(full_audit(spark, sf_dir))
 
 
+@query
+def result_documents(spark, sf_dir):
+    """What the written documents of each site hold, read back from their lines."""
+    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    sinks.write_documents(full_audit(spark, sf_dir), path)
+    lines = spark.read.schema("text string, site string").text(path)
+    line = F.regexp_replace("text", ",$", "")
+    kinds = {"result": '{"url":', "title": '{"title":', "description": '{"meta_description":', "top": '{"rank":', "statistics": '"statistics":'}
+    kind = F.coalesce(*[F.when(line.startswith(start), F.lit(name)) for name, start in kinds.items()])
+    fields = "score int, status string, pages long, total_pages long, avg_score long"
+    read = lines.select("site", kind.alias("kind"), F.from_json(F.regexp_replace(line, '^"statistics":', ""), fields).alias("v"))
+    of = lambda name, value: F.when(F.col("kind") == name, value)
+    return read.groupBy("site").agg(
+        F.count(of("result", F.lit(1))).alias("results"),
+        F.sum(of("result", F.col("v.score"))).alias("score_sum"),
+        F.count(of("result", F.when(F.col("v.status") == "error", 1))).alias("error_results"),
+        F.max(of("statistics", F.col("v.total_pages"))).alias("total_pages"),
+        F.count(of("title", F.lit(1))).alias("shared_titles"),
+        F.coalesce(F.sum(of("title", F.col("v.pages"))), F.lit(0)).alias("shared_title_pages"),
+        F.count(of("description", F.lit(1))).alias("shared_descriptions"),
+        F.count(of("top", F.lit(1))).alias("top_issues"),
+        F.sum(of("top", F.col("v.pages"))).alias("top_issue_pages"),
+    )
+
+
 @query
 def export_details(spark, sf_dir):
     return report.details(full_audit(spark, sf_dir))
