@@ -114,8 +114,12 @@ def _after_start(open_: Column, code: Column) -> Column:
     closed = closed.otherwise(open_)
     flow = _is(code, "p", "li", "dd", "dt", *CLOSES_PARAGRAPH) & F.contains(open_, F.lit(P))
     heading = _is(code, *HEADINGS)
-    after = let(closed, lambda c: F.when(flow, F.regexp_replace(c, _until(("p",), BUTTON_SCOPE), "")).otherwise(c))
-    return F.when(heading, F.regexp_replace(after, f"^[{_codes(*HEADINGS)}]", "")).otherwise(after)
+
+    def after(c: Column) -> Column:
+        without_p = F.when(flow, F.regexp_replace(c, _until(("p",), BUTTON_SCOPE), "")).otherwise(c)
+        return F.when(heading, F.regexp_replace(without_p, f"^[{_codes(*HEADINGS)}]", "")).otherwise(without_p)
+
+    return let(closed, after)
 
 
 def _after_end(open_: Column, code: Column) -> Column:

@@ -257,60 +257,72 @@ def _kinds(strict_links: bool) -> Column:
 
 
 @lru_cache
-def _fact_columns() -> list[Column | str]:
+def _fact_columns() -> dict[str, Column]:
     usable, url = F.col("usable"), F.col("url")
     page, canonical, icon = (F.get("standard", F.lit(k)) for k in range(3))
     alternates = F.filter(
         "links", lambda tag: (tag["rel"] == "alternate") & (tag["hreflang"] != "") & (tag["href"] != "")
     )
     hreflang = F.transform(alternates, lambda tag: F.struct(tag["hreflang"].alias("lang"), tag["href"].alias("url")))
-    return [
-        "site",
-        "url",
-        "fetch_status",
-        "usable",
-        "redirect_type",
-        "error",
-        "title",
-        "meta_description",
-        "h1",
-        clean(_meta("property", "og:title")).alias("og_title"),
-        F.coalesce(clean(_meta("property", "og:description")), "meta_description").alias("og_description"),
-        clean(_meta("property", "og:image")).alias("og_image"),
-        clean(_meta("name", "twitter:card")).alias("twitter_card"),
-        clean(_meta("name", "twitter:title")).alias("twitter_title"),
-        clean(_meta("name", "twitter:description")).alias("twitter_description"),
-        "canonical",
-        F.when(F.col("canonical").isNotNull(), join_url(canonical, page)).alias("canonical_target"),
-        F.when(F.col("canonical").isNotNull(), normalize(page)).alias("canonical_self"),
-        clean(_meta("name", "robots")).alias("robots"),
-        F.when(F.size(hreflang) > 0, hreflang).alias("hreflang"),
-        F.when(F.size("structured_data") > 0, F.col("structured_data")).alias("structured_data"),
-        F.when(usable, F.size("images")).alias("images_total"),
-        F.when(usable, F.size(F.filter("images", lambda i: clean(i["alt"]).isNull()))).alias("images_without_alt"),
-        F.when(usable, F.col("kinds.external")).alias("external_links_count"),
-        F.when(usable, F.col("kinds.internal")).alias("internal_links_count"),
-        "viewport",
-        F.when(usable, F.col("viewport").isNotNull()).alias("mobile_friendly"),
-        F.col("favicon_href").isNotNull().alias("has_favicon"),
-        F.when(F.col("favicon_href").isNotNull(), join_url(icon, page)).alias("favicon"),
-        F.when(usable, url.startswith("https://")).alias("https"),
-        "page_size",
-        "minified",
-        "has_lazy_loading",
-        "compression",
-        "compression_type",
-        "cache_headers",
-        "cache_control",
-        "hrefs",
-        F.col("images")["src"].alias("image_sources"),
-        F.col("content.nodes").alias("main_nodes"),
-        F.col("content.paragraphs").alias("paragraph_count"),
-    ]
+    return {
+        "site": F.col("site"),
+        "url": F.col("url"),
+        "fetch_status": F.col("fetch_status"),
+        "usable": F.col("usable"),
+        "redirect_type": F.col("redirect_type"),
+        "error": F.col("error"),
+        "title": F.col("title"),
+        "meta_description": F.col("meta_description"),
+        "h1": F.col("h1"),
+        "og_title": clean(_meta("property", "og:title")),
+        "og_description": F.coalesce(clean(_meta("property", "og:description")), "meta_description"),
+        "og_image": clean(_meta("property", "og:image")),
+        "twitter_card": clean(_meta("name", "twitter:card")),
+        "twitter_title": clean(_meta("name", "twitter:title")),
+        "twitter_description": clean(_meta("name", "twitter:description")),
+        "canonical": F.col("canonical"),
+        "canonical_target": F.when(F.col("canonical").isNotNull(), join_url(canonical, page)),
+        "canonical_self": F.when(F.col("canonical").isNotNull(), normalize(page)),
+        "robots": clean(_meta("name", "robots")),
+        "hreflang": F.when(F.size(hreflang) > 0, hreflang),
+        "structured_data": F.when(F.size("structured_data") > 0, F.col("structured_data")),
+        "images_total": F.when(usable, F.size("images")),
+        "images_without_alt": F.when(usable, F.size(F.filter("images", lambda i: clean(i["alt"]).isNull()))),
+        "external_links_count": F.when(usable, F.col("kinds.external")),
+        "internal_links_count": F.when(usable, F.col("kinds.internal")),
+        "viewport": F.col("viewport"),
+        "mobile_friendly": F.when(usable, F.col("viewport").isNotNull()),
+        "has_favicon": F.col("favicon_href").isNotNull(),
+        "favicon": F.when(F.col("favicon_href").isNotNull(), join_url(icon, page)),
+        "https": F.when(usable, url.startswith("https://")),
+        "page_size": F.col("page_size"),
+        "minified": F.col("minified"),
+        "has_lazy_loading": F.col("has_lazy_loading"),
+        "compression": F.col("compression"),
+        "compression_type": F.col("compression_type"),
+        "cache_headers": F.col("cache_headers"),
+        "cache_control": F.col("cache_control"),
+        "hrefs": F.col("hrefs"),
+        "image_sources": F.col("images")["src"],
+        "main_nodes": F.col("content.nodes"),
+        "paragraph_count": F.col("content.paragraphs"),
+    }
+
+
+#: What the costly columns are for: where none of the facts is wanted, the column is not in the plan at all.
+_NEEDED_FOR = {
+    "content": ("main_nodes", "paragraph_count"),
+    "structured_data": ("structured_data",),
+    "standard": ("canonical_target", "canonical_self", "favicon", "external_links_count", "internal_links_count"),
+}
 
 
-def page_facts(crawl: DataFrame, strict_links: bool = False) -> DataFrame:
-    """Facts of every crawled page; all fact columns are null for pages that were not fetched."""
+def page_facts(crawl: DataFrame, strict_links: bool = False, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """Facts of every crawled page, all of them or the ``wanted`` ones; null for pages that were not fetched."""
     elements = page_elements(parsed_pages(crawl))
-    derived = elements.withColumns(_derived_columns()).withColumn("kinds", _kinds(strict_links))
-    return derived.select(*_fact_columns())
+    names = set(_fact_columns() if wanted is None else wanted)
+    left_out = {name for name, facts in _NEEDED_FOR.items() if not names & set(facts)}
+    derived = elements.withColumns({name: c for name, c in _derived_columns().items() if name not in left_out})
+    if names & {"external_links_count", "internal_links_count"}:
+        derived = derived.withColumn("kinds", _kinds(strict_links))
+    return derived.select(*[c.alias(name) for name, c in _fact_columns().items() if name in names])

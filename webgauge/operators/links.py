@@ -22,27 +22,25 @@ def _page() -> Column:
     return let(standard_host(F.col("url")), lambda url: F.struct(url.alias("url"), split_url(url).alias("parts")))
 
 
-@lru_cache
-def _references(kind: str) -> Column:
+def _references(kind: str, p: Column) -> Column:
     """Resolved targets in document order with their multiplicity; unresolvable ones are dropped."""
     if kind == "image":
         references = F.filter("image_sources", lambda s: s != "")
     else:
         references = F.filter("hrefs", lambda h: ~h.rlike(UNCHECKED))
-    page = _page()
-    resolved = let(page, lambda p: F.transform(references, lambda r: resolve_link(r, p["url"], p["parts"])))
+    resolved = F.transform(references, lambda r: resolve_link(r, p["url"], p["parts"]))
     return F.filter(resolved, lambda t: t.isNotNull())
 
 
 @lru_cache
 def _entries(kinds: tuple[str, ...]) -> Column:
-    def of(kind: str) -> Column:
+    def of(kind: str, p: Column) -> Column:
         return F.transform(
-            _references(kind),
+            _references(kind, p),
             lambda target, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), target.alias("target")),
         )
 
-    return F.concat(*[of(kind) for kind in kinds])
+    return let(_page(), lambda p: F.concat(*[of(kind, p) for kind in kinds]))
 
 
 def _edges(pages: DataFrame, *kinds: str) -> DataFrame:

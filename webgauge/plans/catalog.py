@@ -34,16 +34,18 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_facts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The stored facts that a query asks for; behind the store, filters and explodes are cheap."""
-    return materialize(facts.page_facts(crawl(spark, sf_dir)).select("site", "url", "usable", *columns))
+    names = ("site", "url", "usable", *columns)
+    return materialize(facts.page_facts(crawl(spark, sf_dir), wanted=names).select(*names))
 
 
 def metrics(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return materialize(plan.page_metrics(crawl(spark, sf_dir)).select("site", "url", "usable", *columns))
 
 
-def row_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+def row_local(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Facts that are only selected, neither filtered nor exploded: no store needed."""
-    return facts.page_facts(crawl(spark, sf_dir))
+    names = ("site", "url", *columns)
+    return facts.page_facts(crawl(spark, sf_dir), wanted=names).select(*names)
 
 
 def fetched(df: DataFrame) -> DataFrame:
@@ -92,13 +94,13 @@ def seed_urls(spark, sf_dir):
 
 @query
 def page_basics(spark, sf_dir):
-    return row_local(spark, sf_dir).select("site", "url", "title", "meta_description", "h1", "robots", "https")
+    return row_local(spark, sf_dir, "title", "meta_description", "h1", "robots", "https")
 
 
 @query
 def social_tags(spark, sf_dir):
     names = ("og_title", "og_description", "og_image", "twitter_card", "twitter_title", "twitter_description")
-    return row_local(spark, sf_dir).select("site", "url", *names)
+    return row_local(spark, sf_dir, *names)
 
 
 @query
@@ -130,12 +132,12 @@ def structured_data(spark, sf_dir):
 
 @query
 def image_alt(spark, sf_dir):
-    return row_local(spark, sf_dir).select("site", "url", "images_total", "images_without_alt")
+    return row_local(spark, sf_dir, "images_total", "images_without_alt")
 
 
 @query
 def link_counts(spark, sf_dir):
-    return row_local(spark, sf_dir).select("site", "url", "external_links_count", "internal_links_count")
+    return row_local(spark, sf_dir, "external_links_count", "internal_links_count")
 
 
 @query
@@ -146,17 +148,17 @@ def strict_link_counts(spark, sf_dir):
 
 @query
 def mobile_friendly(spark, sf_dir):
-    return row_local(spark, sf_dir).select("site", "url", "viewport", "mobile_friendly")
+    return row_local(spark, sf_dir, "viewport", "mobile_friendly")
 
 
 @query
 def favicon(spark, sf_dir):
-    return row_local(spark, sf_dir).select("site", "url", "favicon")
+    return row_local(spark, sf_dir, "favicon")
 
 
 @query
 def page_size(spark, sf_dir):
-    return row_local(spark, sf_dir).select("site", "url", "page_size")
+    return row_local(spark, sf_dir, "page_size")
 
 
 @query
@@ -247,28 +249,28 @@ def unicode_keywords(spark, sf_dir):
 
 @query
 def compression(spark, sf_dir):
-    return row_local(spark, sf_dir).select("site", "url", "compression", "compression_type")
+    return row_local(spark, sf_dir, "compression", "compression_type")
 
 
 @query
 def cache_headers(spark, sf_dir):
-    return row_local(spark, sf_dir).select("site", "url", "cache_headers", "cache_control")
+    return row_local(spark, sf_dir, "cache_headers", "cache_control")
 
 
 @query
 def minified(spark, sf_dir):
-    return facts.page_facts(crawl(spark, sf_dir).drop("perf_status")).select("site", "url", "minified")
+    return facts.page_facts(crawl(spark, sf_dir).drop("perf_status"), wanted=("site", "url", "minified"))
 
 
 @query
 def lazy_loading(spark, sf_dir):
-    return facts.page_facts(crawl(spark, sf_dir).drop("perf_status")).select("site", "url", "has_lazy_loading")
+    return facts.page_facts(crawl(spark, sf_dir).drop("perf_status"), wanted=("site", "url", "has_lazy_loading"))
 
 
 @query
 def perf_fallback(spark, sf_dir):
     columns = ("compression", "compression_type", "cache_headers", "cache_control", "minified", "has_lazy_loading")
-    return row_local(spark, sf_dir).select("site", "url", *columns)
+    return row_local(spark, sf_dir, *columns)
 
 
 # --- links ---------------------------------------------------------------------------------------
