@@ -18,10 +18,18 @@ _INTERNAL = ("hrefs", "image_sources", "canonical_target", "canonical_self", "pa
 
 
 def page_metrics(
-    crawl: DataFrame, strict_links: bool = False, target_keyword: str | None = None, unicode_keywords: bool = False
+    crawl: DataFrame,
+    strict_links: bool = False,
+    target_keyword: str | None = None,
+    unicode_keywords: bool = False,
+    wanted: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """Facts, content and delivery metrics per page. Row-local: one HTML pass, no shuffle."""
-    return content_metrics(page_facts(crawl, strict_links), target_keyword, unicode_keywords)
+    """Facts, content and delivery metrics per page. Row-local: one HTML pass, no shuffle.
+
+    With ``wanted`` only those facts are derived besides the content metrics.
+    """
+    names = None if wanted is None else ("site", "url", "usable", "main_nodes", "paragraph_count", *wanted)
+    return content_metrics(page_facts(crawl, strict_links, names), target_keyword, unicode_keywords)
 
 
 def page_table(crawl: DataFrame, **options) -> DataFrame:

@@ -39,7 +39,7 @@ def page_facts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def metrics(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return materialize(plan.page_metrics(crawl(spark, sf_dir)).select("site", "url", "usable", *columns))
+    return materialize(plan.page_metrics(crawl(spark, sf_dir), wanted=columns).select("site", "url", "usable", *columns))
 
 
 def row_local(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
