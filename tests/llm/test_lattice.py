@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from webgauge.llm.lattice import SHORTEST, cells, nearest_e8, similar_vectors, sketches, unit_vectors
+from webgauge.llm.lattice import SHORTEST, cells, design_for, meet, nearest_e8, similar_vectors, sketches, unit_vectors
 from webgauge.llm.queries import op2_lattice_dedup
 
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("vector", T.StringType()), T.StructField("class", T.StringType())])
@@ -48,18 +48,35 @@ def test_decoder_finds_the_nearest_point():
         assert (((x - point - v) ** 2).sum(axis=1) >= distance - 1e-9).all()
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("rows", [100, 2000, 32000, 10**6])
+def test_recall_at_the_threshold(rows):
     rng = np.random.default_rng(1)
-    x = unit_vectors(rng.normal(size=(3000, 64)))
+    x = unit_vectors(rng.normal(size=(2000, 64)))
     noise = rng.normal(size=x.shape)
     noise = unit_vectors(noise - (noise * x).sum(axis=1, keepdims=True) * x)
     y = 0.95 * x + np.sqrt(1 - 0.95**2) * noise
-    a, b = cells(x), cells(y)
-    by_table = (a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)
-    assert by_table.mean() > 0.6 and by_table.any(axis=1).mean() > 0.998
+    design = design_for(rows)
+    assert meet(cells(x, design), cells(y, design)).any(axis=1).mean() > 0.997
     assert np.bitwise_count(sketches(x) ^ sketches(y)).sum(axis=1).max() <= 58
 
 
+def test_tables_grow_slowly():
+    assert design_for(2000).tables < 12 and design_for(32000).tables < 18 and design_for(10**9).tables < 150
+    assert design_for(0) == design_for(1) == design_for(1000)
+
+
+def test_strangers_stay_as_many_with_more_rows():
+    met = []
+    for rows in (2000, 8000, 32000):
+        x = unit_vectors(np.random.default_rng(rows).normal(size=(rows, 64)))
+        keys = cells(x, design_for(rows))
+        owned, members = np.unique(keys[:, :, 0], return_counts=True)
+        probed = keys.ravel()
+        at = np.searchsorted(owned, probed).clip(max=len(owned) - 1)
+        met.append((members[at] * (owned[at] == probed)).sum() / rows - keys.shape[1])
+    assert max(met) < 2 * min(met) and max(met) < 8, met
+
+
 @pytest.mark.parametrize("block", [1000, 7])
 def test_equals_brute_force_on_odd_rows(spark, block):
     rng = np.random.default_rng(2)

@@ -1,7 +1,7 @@
 """Near-duplicate vectors by E8 lattice hashing.
 
 1. Equal vectors form one class, which goes on as one row.
-2. In each of ``TABLES`` tables a vector is projected at random to ``BLOCKS`` blocks of eight numbers; each block is
+2. In each of several tables a vector is projected at random to blocks of eight numbers; each block is
    decoded to the nearest point of the lattice E8, and the points together are the cell of the vector. It
    also probes the ``PROBES`` neighbouring cells that are nearest to it.
 3. The vectors of a cell and those that probe it meet in a unit of work; a crowded cell is dealt into blocks and
@@ -9,20 +9,26 @@
 4. Rows with a pair left fetch their vectors, and those pairs are verified by cosine in double precision. A pair
    that meets in several units counts in the first one only.
 
-At a cosine of 0.95 a pair meets in one table with a probability of about 0.65, in one of eight with 0.9998
-(measured by ``tests/llm/test_lattice.py``); closer pairs meet more often. Two vectors at random meet in a table
-with about 4e-4. A unit gives back link counts and a spanning forest of its links, never the pairs.
+The more rows, the narrower the cells, so that a vector meets about ``STRANGERS`` unrelated ones at any number of rows;
+and the narrower the cells, the more tables, so that a pair at the threshold meets with a probability of ``RECALL`` (see
+``design_for``; closer pairs meet more often). That takes 9 tables for 2,000 rows, about 14 for 32,000 and 100 for 10^9.
+Vectors that are no random directions, but lie in clouds below the threshold, meet more often. A unit gives back link
+counts and a spanning forest of its links, never the pairs.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webgauge.llm.arrays import mix
 from webgauge.llm.components import connected
@@ -30,7 +36,11 @@ from webgauge.llm.units import root_of, to_batch, units
 from webgauge.session import materialize
 
 THRESHOLD = 0.95
-TABLES, BLOCKS, PROBES, WIDTH = 8, 2, 8, 2.0
+PROBES = 4
+#: Unrelated vectors that a vector is to meet, and the chance that a pair at the threshold meets.
+STRANGERS, RECALL = 4.0, 0.9995
+#: Cells narrower than this take one more block of eight numbers instead.
+NARROWEST = 1.5
 #: Bits of a sketch, and the most that may differ: at a cosine of 0.95 about 26 do, with a deviation of 5.
 BITS, MOST_BITS = 256, 58
 #: Most members of either side of a unit, on average.
@@ -70,7 +80,7 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
 
 
 def _keys(points: np.ndarray, table: int, dimension: int) -> np.ndarray:
-    """A 64-bit key of the cells with these lattice points (rows of ``8 * BLOCKS`` multiples of one half)."""
+    """A 64-bit key of the cells with these lattice points (rows of multiples of one half)."""
     key = np.full(points.shape[:-1], table * 1_000_003 + dimension, dtype=np.uint64)
     doubled = (2 * points).astype(np.int64).view(np.uint64)
     for k in range(points.shape[-1]):
@@ -78,25 +88,59 @@ def _keys(points: np.ndarray, table: int, dimension: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def cells(x: np.ndarray, seed: int = 0) -> np.ndarray:
+@dataclass(frozen=True)
+class Design:
+    """Tables, blocks of eight numbers in each, and the width of a cell as a share of a unit vector's projection."""
+
+    tables: int
+    blocks: int
+    width: float
+
+
+def around(y: np.ndarray, table: int, dimension: int) -> np.ndarray:
+    """keys[row, 0] is the cell of a projected vector, keys[row, 1:] are the cells it probes."""
+    blocks, rows = y.shape[1] // 8, np.arange(len(y))
+    point = np.concatenate([nearest_e8(y[:, 8 * b : 8 * b + 8]) for b in range(blocks)], axis=1)
+    # A neighbour c + v is nearer the larger the product of v with what the decoder left over.
+    gain = np.concatenate([(y - point)[:, 8 * b : 8 * b + 8] @ SHORTEST.T for b in range(blocks)], axis=1)
+    best = np.argpartition(-gain, PROBES, axis=1)[:, :PROBES]
+    points = np.repeat(point[:, None, :], PROBES + 1, axis=1).reshape(len(y), PROBES + 1, blocks, 8)
+    for k in range(PROBES):
+        points[rows, k + 1, best[:, k] // len(SHORTEST)] += SHORTEST[best[:, k] % len(SHORTEST)]
+    return _keys(points.reshape(len(y), PROBES + 1, 8 * blocks), table, dimension)
+
+
+def meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether one of two vectors is in or probes the cell of the other, by row and by table if there are any."""
+    return (a[..., :1] == b).any(axis=-1) | (b[..., :1] == a).any(axis=-1)
+
+
+def design_for(rows: int, threshold: float = THRESHOLD) -> Design:
+    """The design for so many rows.
+
+    Two random directions meet in a table with a chance of about (0.0085 (width / 2) ** 6) ** blocks (measured between
+    widths of 1.6 and 2.5; the test counts the pairs). The chance of a pair at the threshold is measured here on 4,000
+    pairs: projections of two unit vectors are normal numbers that correlate by their cosine, whatever the dimension.
+    """
+    wanted = STRANGERS / (max(rows, 1000) * 16)
+    blocks, width = 2, 0.0
+    while (width := 2 * (wanted ** (1 / blocks) / 0.0085) ** (1 / 6)) < NARROWEST:
+        blocks += 1
+    rng = np.random.default_rng(0)
+    a, other = rng.normal(size=(2, 4000, 8 * blocks))
+    b = threshold * a + math.sqrt(max(0.0, 1 - threshold**2)) * other
+    shift = rng.random(8 * blocks)
+    chance = min(float(meet(around(a / width + shift, 0, 0), around(b / width + shift, 0, 0)).mean()), 0.999)
+    return Design(math.ceil(math.log(1 - RECALL) / math.log(1 - chance)), blocks, width)
+
+
+def cells(x: np.ndarray, design: Design, seed: int = 0) -> np.ndarray:
     """keys[row, table, 0] is the cell of a unit vector, keys[row, table, 1:] are the cells it probes."""
     n, d = x.shape
-    out = np.empty((n, TABLES, PROBES + 1), dtype=np.int64)
-    rows = np.arange(n)
-    for t in range(TABLES):
+    out = np.empty((n, design.tables, PROBES + 1), dtype=np.int64)
+    for t in range(design.tables):
         rng = np.random.default_rng([seed, d, t])
-        y = x @ (rng.normal(size=(d, 8 * BLOCKS)) / WIDTH) + rng.random(8 * BLOCKS)
-        point = np.concatenate([nearest_e8(y[:, 8 * b : 8 * b + 8]) for b in range(BLOCKS)], axis=1)
-        # A neighbour c + v is nearer the larger the product of v with what the decoder left over.
-        gain = np.concatenate([(y - point)[:, 8 * b : 8 * b + 8] @ SHORTEST.T for b in range(BLOCKS)], axis=1)
-        best = np.argpartition(-gain, PROBES, axis=1)[:, :PROBES]
-        out[:, t, 0] = _keys(point, t, d)
-        for k in range(PROBES):
-            other = point.copy()
-            for b in range(BLOCKS):
-                mine = best[:, k] // len(SHORTEST) == b
-                other[mine, 8 * b : 8 * b + 8] += SHORTEST[best[mine, k] % len(SHORTEST)]
-            out[rows, t, k + 1] = _keys(other, t, d)
+        out[:, t] = around(x @ (rng.normal(size=(d, 8 * design.blocks)) / design.width) + rng.random(8 * design.blocks), t, d)
     return out
 
 
@@ -112,28 +156,36 @@ def unit_vectors(x: np.ndarray) -> np.ndarray:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each usable vector as doubles; null for the others."""
+    """The bytes of each usable vector in its own precision; null for the others."""
     for batch in batches:
-        out = []
-        for v in batch.column("_v").to_pylist():
-            x = np.array(v if v else [0.0], dtype=object)
-            x = np.zeros(1) if any(e is None for e in x) else x.astype(np.float64) + 0.0
-            out.append(x.tobytes() if np.isfinite(x).all() and x.any() else None)
+        column = batch.column("_v")
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+        x = column.flatten().to_numpy(zero_copy_only=False) + column.type.value_type.to_pandas_dtype()(0)  # no negative zeros; null is nan
+        upto = lambda flags: np.concatenate([[0], np.cumsum(flags)])
+        starts, odd, used = np.concatenate([[0], ends[:-1]]), upto(~np.isfinite(x)), upto(x != 0)
+        usable = (odd[ends] == odd[starts]) & (used[ends] > used[starts])
+        raw, size = x.tobytes(), x.itemsize
+        out = [raw[s * size : e * size] if u else None for s, e, u in zip(starts.tolist(), ends.tolist(), usable.tolist())]
         kept = [c for c in batch.schema.names if c != "_v"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary())], [*kept, "vector"])
 
 
-def _hash(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+def _matrix(raw: list[bytes], precision: str) -> np.ndarray:
+    """Vectors of one length as unit vectors in double precision."""
+    return unit_vectors(np.frombuffer(b"".join(raw), dtype=precision).reshape(len(raw), -1).astype(np.float64))
+
+
+def _hash(batches: Iterator[pa.RecordBatch], design: Design, precision: str, seed: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
             batch = whole.slice(at, 1000)
             raw = batch.column("vector").to_pylist()
             length = np.array([len(r) for r in raw])
-            keys, bits = np.empty((len(raw), TABLES, PROBES + 1), dtype=np.int64), np.empty((len(raw), BITS // 8), dtype=np.uint8)
+            keys, bits = np.empty((len(raw), design.tables, PROBES + 1), dtype=np.int64), np.empty((len(raw), BITS // 8), dtype=np.uint8)
             for n in np.unique(length).tolist():  # vectors of different lengths never meet
                 mine = np.flatnonzero(length == n)
-                x = unit_vectors(np.frombuffer(b"".join(raw[k] for k in mine.tolist())).reshape(len(mine), -1))
-                keys[mine], bits[mine] = cells(x, seed), sketches(x, seed)
+                x = _matrix([raw[k] for k in mine.tolist()], precision)
+                keys[mine], bits[mine] = cells(x, design, seed), sketches(x, seed)
             columns = [pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([b.tobytes() for b in bits], pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "keys", "bits"])
 
@@ -151,8 +203,9 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows on the side of the owners (0) and on that of the others (1); 2 is both."""
     side = table.column("side").to_numpy()
-    return np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return np.flatnonzero(side != 1), np.flatnonzero(side != 0)
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +251,7 @@ def first_meeting(bucket: int, keys: np.ndarray, classes: np.ndarray, i: np.ndar
     return first & ((classes[i] < classes[j]) | ~(keys[small, table, :1] == keys[large, table]).any(axis=1))
 
 
-def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], threshold: float, precision: str) -> Iterator[pa.RecordBatch]:
     """(class, links, other): vectors linked to a class in this unit, and an edge of the spanning forest."""
     out: list[tuple] = []
     for table in units(batches):
@@ -207,8 +260,8 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         if not len(owners) or not len(probers):
             continue
         classes, copies = table.column("class").to_numpy(), table.column("copies").to_numpy()
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=np.int64).reshape(table.num_rows, TABLES, PROBES + 1)
-        x = unit_vectors(np.frombuffer(b"".join(table.column("vector").to_pylist())).reshape(table.num_rows, -1))
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=np.int64).reshape(table.num_rows, -1, PROBES + 1)
+        x = _matrix(table.column("vector").to_pylist(), precision)
         name, node = np.unique(classes, return_inverse=True)
         links, root = np.zeros(len(name), dtype=np.int64), list(range(len(name)))
         step = max(1, PAIRS_AT_ONCE // len(probers))
@@ -247,12 +300,19 @@ def similar_vectors(vectors: DataFrame, *, vec: str = "vec_id", embedding: str =
     """
     if threshold < THRESHOLD:
         raise ValueError(f"the tables and sketches find links from a cosine of {THRESHOLD} on, not {threshold}")
-    source = vectors.select(F.col(vec).alias("vec_id"), F.monotonically_increasing_id().alias("row"), F.col(embedding).cast("array<double>").alias("_v"))
+    single = isinstance(getattr(vectors.schema[embedding].dataType, "elementType", None), T.FloatType)
+    precision = "float32" if single else "float64"
+    numbers = F.col(embedding) if single else F.col(embedding).cast("array<double>")
+    source = vectors.select(F.col(vec).alias("vec_id"), F.monotonically_increasing_id().alias("row"), numbers.alias("_v"))
     kind = source.schema["vec_id"].dataType.simpleString()
-    stored = materialize(source.mapInArrow(_vectors, f"vec_id {kind}, row long, vector binary"))
-    named = stored.where("vector is not null").groupBy("vector").agg(F.min(F.struct("vec_id", "row")).alias("first"), F.count("*").alias("copies"))
-    named = named.select(F.col("first.row").alias("class"), F.col("first.vec_id").alias("class_id"), "copies", "vector")
-    heads = materialize(named.mapInArrow(lambda b: _hash(b, seed), f"class long, class_id {kind}, copies long, vector binary, keys binary, bits binary"))
+    coded = source.mapInArrow(_vectors, f"vec_id {kind}, row long, vector binary")
+    # Equal vectors are told by a SHA-256 of their bytes, so that only one of them travels.
+    stored = materialize(coded.withColumn("code", F.unhex(F.sha2("vector", 256))))
+    design = design_for(stored.count(), threshold)
+    named = stored.where("vector is not null").groupBy("code").agg(F.min(F.struct("vec_id", "row")).alias("first"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    named = named.select(F.col("first.row").alias("class"), F.col("first.vec_id").alias("class_id"), "copies", "code", "vector")
+    hashed = f"class long, class_id {kind}, copies long, code binary, vector binary, keys binary, bits binary"
+    heads = materialize(named.mapInArrow(lambda b: _hash(b, design, precision, seed), hashed))
 
     met = heads.select("class", "keys").mapInArrow(_meetings, "bucket long, class long, owner boolean")
     owners = F.count_if("owner")
@@ -264,12 +324,14 @@ def similar_vectors(vectors: DataFrame, *, vec: str = "vec_id", embedding: str =
     # A class in a cell stands on both sides: as its owner, and among those that look for others there.
     as_owner = F.transform(F.sequence(F.lit(0), F.col("qs") - 1), lambda q: F.struct(own("ps").alias("p"), q.alias("q"), F.lit(0).alias("side")))
     as_prober = F.transform(F.sequence(F.lit(0), F.col("ps") - 1), lambda p: F.struct(p.alias("p"), own("qs").alias("q"), F.lit(1).alias("side")))
-    placed = met.select("bucket", "class", F.explode(F.when(F.col("owner"), F.concat(as_owner, as_prober)).otherwise(as_prober)).alias("u")).select("bucket", "u.p", "u.q", "class", "u.side")
+    as_both = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(2).alias("side")))
+    stands = F.when(F.col("owner") & (F.col("ps") == 1) & (F.col("qs") == 1), as_both).when(F.col("owner"), F.concat(as_owner, as_prober)).otherwise(as_prober)
+    placed = met.select("bucket", "class", F.explode(stands).alias("u")).select("bucket", "u.p", "u.q", "class", "u.side")
     keys = ["bucket", "p", "q"]
     dealt = placed.join(heads.select("class", "bits"), "class").repartition(*keys).sortWithinPartitions(*keys)
     left = materialize(dealt.mapInArrow(_prune, "bucket long, p int, q int, class long, side int"))
     fetched = left.join(heads.select("class", "copies", "vector", "keys"), "class").repartition(*keys).sortWithinPartitions(*keys)
-    links = materialize(fetched.mapInArrow(lambda b: _verify(b, threshold), "class long, links long, other long"))
+    links = materialize(fetched.mapInArrow(lambda b: _verify(b, threshold, precision), "class long, links long, other long"))
 
     degree = links.groupBy("class").agg(F.sum("links").alias("links"))
     members = connected(links.where("class <> other").select(F.col("class").alias("a"), F.col("other").alias("b")))
@@ -277,10 +339,10 @@ def similar_vectors(vectors: DataFrame, *, vec: str = "vec_id", embedding: str =
     smallest = members.join(ids, "node").groupBy("component").agg(F.min(F.struct("class_id")).alias("head"))
     component = members.join(smallest, "component").select(F.col("node").alias("class"), "head")
     own_id = F.when(F.col("head").isNull(), F.col("class_id")).otherwise(F.col("head.class_id")).alias("component_id")
-    summary = heads.select("class", "class_id", "copies", "vector").join(degree, "class", "left").join(component, "class", "left")
-    summary = materialize(summary.select("vector", "copies", F.coalesce("links", F.lit(0)).alias("links"), own_id))
+    summary = heads.select("class", "class_id", "copies", "code").join(degree, "class", "left").join(component, "class", "left")
+    summary = materialize(summary.select("code", "copies", F.coalesce("links", F.lit(0)).alias("links"), own_id))
     # A hot vector meets one row here: Spark splits it.
-    linked = stored.where("vector is not null").join(summary, "vector").select("vec_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id", "copies")
+    linked = stored.where("vector is not null").join(summary, "code").select("vec_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id", "copies")
     alone = stored.where("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(1).cast("long").alias("copies"))
     all_ = linked.unionByName(alone)
     return all_.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("copies").alias("n_copies"))
