@@ -26,12 +26,12 @@ ROBOTS_NO_AGENT = "robots.txt neobsahuje User-agent direktivy"
 ROBOTS_NO_SITEMAP = "robots.txt neobsahuje Sitemap direktivu"
 ROBOTS_BLOCKS_ALL = "VAROVÁNÍ: robots.txt blokuje všechny crawly (Disallow: /)"
 
-_XML = (
+XML_ENTRIES = (
     "url array<struct<loc:array<string>,lastmod:array<string>>>,"
     "sitemap array<struct<loc:array<string>>>,_corrupt_record string"
 )
 # The first element behind the prolog.
-_ROOT = r"(?s)^\s*+(?:<\?.*?\?>\s*+|<!--.*?-->\s*+|<![^>]*+>\s*+)*+<([^\s/>!?]++)"
+ROOT_PATTERN = r"(?s)^\s*+(?:<\?.*?\?>\s*+|<!--.*?-->\s*+|<![^>]*+>\s*+)*+<([^\s/>!?]++)"
 
 
 def seed_urls(seeds: DataFrame) -> DataFrame:
@@ -72,12 +72,17 @@ def discover(sites: DataFrame, docs: DataFrame, robots: DataFrame) -> DataFrame:
 
 def parsed_docs(docs: DataFrame) -> DataFrame:
     """Sitemap documents with their root element, parsed entries and whether they are broken XML."""
-    xml = F.from_xml("body", _XML)
-    return docs.withColumns({"root": F.regexp_extract("body", _ROOT, 1), "xml": xml}).withColumn(
+    xml = F.from_xml("body", XML_ENTRIES)
+    return docs.withColumns({"root": F.regexp_extract("body", ROOT_PATTERN, 1), "xml": xml}).withColumn(
         "malformed", F.col("xml._corrupt_record").isNotNull() | (F.col("root") == "")
     )
 
 
+def first_locations(locs: Column) -> Column:
+    """The first location of each entry, trimmed, without blank ones."""
+    return F.filter(F.transform(locs, lambda of: trim(F.get(of, F.lit(0)))), lambda loc: loc != "")
+
+
 def listed_locations(docs: DataFrame) -> DataFrame:
     """``site, sitemap_url, root, locs``: what every readable sitemap lists, the first location of each entry.
 
@@ -86,31 +91,35 @@ def listed_locations(docs: DataFrame) -> DataFrame:
     """
     root = F.col("root")
 
-    def first_locs(entries: Column) -> Column:
-        locs = F.transform(entries, lambda e: trim(F.get(e["loc"], F.lit(0))))
-        return F.filter(locs, lambda loc: loc != "")
-
     def read(xml: Column) -> Column:
         whole = xml["_corrupt_record"].isNull()
-        listed = F.when(root == "urlset", first_locs(xml["url"])).when(root == "sitemapindex", first_locs(xml["sitemap"]))
+        listed = F.when(root == "urlset", first_locations(xml["url"]["loc"])).when(root == "sitemapindex", first_locations(xml["sitemap"]["loc"]))
         return F.when(whole, listed)
 
-    good = docs.where(answered(F.col("http_status"))).withColumn("root", F.regexp_extract("body", _ROOT, 1))
-    return good.select("site", "sitemap_url", "root", let(F.from_xml("body", _XML), read).alias("locs"))
+    good = docs.where(answered(F.col("http_status"))).withColumn("root", F.regexp_extract("body", ROOT_PATTERN, 1))
+    return good.select("site", "sitemap_url", "root", let(F.from_xml("body", XML_ENTRIES), read).alias("locs"))
+
+
+def _all_listed(docs: DataFrame, listed: DataFrame | None) -> DataFrame:
+    stored = materialize(listed_locations(docs))
+    return stored if listed is None else stored.unionByName(listed)
 
 
 def _listed(stored: DataFrame, root: str, name: str) -> DataFrame:
     return stored.where(F.col("root") == root).select("site", "sitemap_url", F.explode("locs").alias(name))
 
 
-def sitemap_urls(docs: DataFrame) -> DataFrame:
-    """Page URLs of every readable url set: the first location of each entry, each URL once."""
-    return _listed(materialize(listed_locations(docs)), "urlset", "url").distinct()
+def sitemap_urls(docs: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """Page URLs of every readable url set: the first location of each entry, each URL once.
+
+    ``listed`` adds documents that were read as files (``listed_in_files``), here and below.
+    """
+    return _listed(_all_listed(docs, listed), "urlset", "url").distinct()
 
 
-def sitemap_children(docs: DataFrame) -> DataFrame:
+def sitemap_children(docs: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """Edges from every readable sitemap index to the sitemaps it lists."""
-    return _listed(materialize(listed_locations(docs)), "sitemapindex", "child").distinct()
+    return _listed(_all_listed(docs, listed), "sitemapindex", "child").distinct()
 
 
 def expand(roots: DataFrame, docs: DataFrame) -> DataFrame:
@@ -134,9 +143,9 @@ def _walk(roots: DataFrame, children: DataFrame) -> DataFrame:
     return visited.read()
 
 
-def site_urls(roots: DataFrame, docs: DataFrame) -> DataFrame:
+def site_urls(roots: DataFrame, docs: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """All page URLs of a site, each once, from its root sitemap down."""
-    stored = materialize(listed_locations(docs))
+    stored = _all_listed(docs, listed)
     children = materialize(_listed(stored, "sitemapindex", "child").distinct())
     reachable = _walk(roots, children).select("site", "sitemap_url")
     sets = stored.where("root = 'urlset'").join(reachable, ["site", "sitemap_url"], "left_semi")
