@@ -86,20 +86,31 @@ def links_to_check(edges: DataFrame, known: DataFrame | None = None) -> DataFram
     return targets if known is None else targets.join(known.select("url"), "url", "left_anti")
 
 
+def _is_broken(status: Column) -> Column:
+    return (status == 0) | (status >= 400)
+
+
+def best_statuses(link_status: DataFrame) -> DataFrame:
+    """One answer per URL: of several, one below 400 counts most, otherwise the smallest status. Unknown statuses are left out."""
+    answer = F.struct(_is_broken(F.col("status")).alias("bad"), "status", "error")
+    best = link_status.where(F.col("status").isNotNull()).groupBy("url").agg(F.min(answer).alias("r"))
+    return best.select("url", "r.status", "r.error", "r.bad")
+
+
 def broken_statuses(link_status: DataFrame) -> DataFrame:
-    """Targets without an answer or with an error answer, each once. An unknown status is not broken.
+    """Targets without an answer or with an error answer, each once. An unknown status is not broken."""
+    return best_statuses(link_status).where("bad").select("url", "status", "error")
 
-    Of several results for one target an answer below 400 counts most, otherwise the smallest status.
-    """
-    bad = (F.col("status") == 0) | (F.col("status") >= 400)
-    best = link_status.where(F.col("status").isNotNull()).groupBy("url").agg(F.min(F.struct(bad.alias("bad"), "status", "error")).alias("r"))
-    return best.where("r.bad").select("url", "r.status", "r.error")
 
+def broken_links(edges: DataFrame, link_status: DataFrame, stored: bool = False) -> DataFrame:
+    """Edges to broken targets. Only broken targets enter the join; menu links may be hot.
 
-def broken_links(edges: DataFrame, link_status: DataFrame) -> DataFrame:
-    """Edges to broken targets. Only broken targets enter the join; menu links may be hot."""
-    broken = materialize(broken_statuses(link_status).select(F.col("url").alias("target"), "status", "error"))
-    return lookup_join(edges, broken, "target")
+    ``stored`` says that the statuses are a table of ``merge_statuses``: one per URL and bucketed by it. They are then
+    joined where they lie, and only the edges cross the network.
+    """
+    known = link_status.where(_is_broken(F.col("status"))) if stored else broken_statuses(link_status)
+    broken = known.select(F.col("url").alias("target"), "status", "error")
+    return lookup_join(edges, broken if stored else materialize(broken), "target")
 
 
 def broken_rollup(broken: DataFrame) -> DataFrame:
