@@ -1,11 +1,13 @@
 import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
 
-from webgauge.llm.quality import FEATURES, PRIOR_UNITS, class_sums, fit, keep_good, score_documents, statistics
+from webgauge.llm.quality import FEATURES, PRIOR_UNITS, PSEUDO_ROWS, TEMPERATURE, TO_DIAGONAL, TO_POOLED, class_sums, fit, keep_good, score_documents, statistics
 from webgauge.llm.queries import op1_quality_discriminant
 
 DOCS = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("_stats", T.StringType()), ("score", T.StringType()))])
@@ -58,6 +60,50 @@ def test_held_out_accuracy_and_shape(spark):
     assert sum(r.predicted == labels[r.doc_id] for r in test) / len(test) > 0.97
 
 
+def plain_statistics(text):
+    """The statistics of one text, byte by byte."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw)
+    low = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
+    lines = [line for line in raw.split(b"\n") if line]
+    stops, blank = set(b".,;:'\"?()-"), set(b" \t\n\r")
+    alone = Counter(b for b in raw if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 or b in stops or b in blank))
+    upper, lower = sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw)
+    part_of = {
+        "word_length": (sum(map(len, words)), len(words)), "upper": (upper, upper + lower), "digit": (sum(48 <= b <= 57 for b in raw), len(raw)),
+        "space": (sum(b in b" \t" for b in raw), len(raw)), "line": (sum(b in b"\r\n" for b in raw), len(words)), "stop": (sum(b in stops for b in raw), len(words)),
+        "symbol": (sum(alone.values()), len(words)), "top_symbol": (max(alone.values(), default=0), len(words)), "long_words": (sum(len(w) > 20 for w in words), len(words)),
+        "doubled_words": (sum(a == b for a, b in zip(low, low[1:])), len(words)), "distinct_words": (len(set(low)), len(words)), "distinct_lines": (len(set(lines)), len(lines)),
+    }
+    shares = {name: math.log((a + PRIOR_UNITS * FEATURES[name]) / (b + PRIOR_UNITS)) for name, (a, b) in part_of.items()}
+    return [{"length": math.log1p(len(raw)), "words": math.log1p(len(words)), **shares}[name] for name in FEATURES]
+
+
+def test_query_equals_brute_force(spark):
+    """Every row of the table: statistics byte by byte, class covariances and densities without factors."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet").collect() for n in ("documents", "labels"))
+    x = {r.doc_id: np.array(plain_statistics(r.text)) for r in docs}
+    train = [(x[r.doc_id], r.quality) for r in labels if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    groups = [np.array([v for v, y in train if y == c]) for c in (0, 1)]
+    scatter = [(g - g.mean(axis=0)).T @ (g - g.mean(axis=0)) for g in groups]
+    pooled, d = sum(scatter) / len(train), len(FEATURES)
+    floor = 1e-3 + 1e-3 * np.trace(pooled) / d
+    pooled = (1 - TO_DIAGONAL) * pooled + TO_DIAGONAL * np.diag(np.diag(pooled)) + floor * np.eye(d)
+
+    def density(v, c):
+        n = len(groups[c])
+        weight = (TO_POOLED * n + PSEUDO_ROWS) / (n + PSEUDO_ROWS)
+        covariance, off = (1 - weight) * scatter[c] / n + weight * pooled, v - groups[c].mean(axis=0)
+        return math.log(n / len(train)) - 0.5 * np.linalg.slogdet(covariance)[1] - 0.5 * off @ np.linalg.solve(covariance, off)
+
+    found = {r.doc_id: r for r in op1_quality_discriminant(spark, sf_dir).collect()}
+    assert found.keys() == x.keys() and len(docs) == len(x)
+    for k, v in x.items():
+        score = 1 / (1 + math.exp(min(60.0, max(-60.0, (density(v, 0) - density(v, 1)) / TEMPERATURE))))
+        assert abs(found[k].score - score) < 1e-6 and found[k].predicted == (found[k].score >= 0.5), (k, found[k].score, score)
+
+
 def test_labels_of_held_out_rows_do_not_matter(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
     turned = labels.selectExpr("doc_id", "case when crc32(cast(cast(doc_id as string) as binary)) % 3 = 1 then 1 - quality else quality end as quality")

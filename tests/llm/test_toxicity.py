@@ -1,9 +1,14 @@
+import math
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
 
 from webgauge.llm.queries import op5_toxicity
-from webgauge.llm.toxicity import GRADES, Features, fit, fit_cuts_and_weights, grade_documents, grades, sigmoid
+from webgauge.llm.toxicity import FEATURES, GRADES, LEAST_TEXTS, LEAST_Z, PREFIXES, SAMPLE, Features, fit, fit_cuts_and_weights, grade_documents, grades, sigmoid
 
 DOCS = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("severity", T.StringType()), ("_text", T.StringType()))])
 LABELS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("text", T.StringType())])
@@ -83,6 +88,45 @@ def test_empty_tables_and_one_label(spark):
     assert not grade_documents(one, labels).first().toxic
 
 
+def plain_features(text):
+    """Words and their beginnings in bytes, with their numbers."""
+    words = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())]
+    return Counter(words) + Counter((p, w[:p]) for w in words for p in PREFIXES if len(w) >= p)
+
+
+def test_query_equals_brute_force(spark):
+    """Every row of the table: features in dictionaries, telling ones one by one, then the likelihood fit that is tested above."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet").collect() for n in ("documents", "labels"))
+    features = {r.doc_id: plain_features(r.text) for r in docs}
+    train = {r.doc_id: r.toxic for r in labels if r.toxic in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    n = Counter(train.values())
+    assert max(n.values()) <= SAMPLE and min(n.values()) > 0
+    texts = [Counter(f for k, y in train.items() if y == c for f in features[k]) for c in (0, 1)]
+    z = {}
+    for f, often in texts[1].items():
+        rate = (often + texts[0][f]) / len(train)
+        z[f] = (often / n[1] - texts[0][f] / n[0]) / math.sqrt(max(rate * (1 - rate), 1e-12) * (1 / n[0] + 1 / n[1]))
+    telling = sorted((f for f, often in texts[1].items() if often >= LEAST_TEXTS and z[f] >= LEAST_Z), key=repr)
+    assert 0 < len(telling) <= FEATURES
+    place = {f: k for k, f in enumerate(telling)}
+    ids = sorted(train)
+    held = [(row, place[f], math.log1p(number)) for row, k in enumerate(ids) for f, number in features[k].items() if f in place]
+    row, at, value = (np.array(c) for c in zip(*held))
+    toxic = np.array([train[k] == 1 for k in ids])
+    strength = np.bincount(row, value * np.array([z[telling[k]] for k in at]), len(ids))
+    cuts, weights = fit_cuts_and_weights(row, at, value, grades(toxic, strength), len(telling))
+    found = {r.doc_id: r for r in op5_toxicity(spark, sf_dir).collect()}
+    assert found.keys() == features.keys() and len(docs) == len(features)
+    for k, counted in features.items():
+        latent = sum(weights[place[f]] * math.log1p(number) for f, number in counted.items() if f in place)
+        above = [1 / (1 + math.exp(-min(40.0, max(-40.0, latent - cut)))) for cut in cuts]
+        severity = sum(above)
+        r = found[k]
+        assert abs(r.severity - severity) < 1e-6 and abs(r.p_toxic - above[0]) < 1e-6, (k, r, severity)
+        assert r.toxic == (r.p_toxic >= 0.5) and r.grade == (max(1, math.floor(r.severity + 0.5)) if r.toxic else 0)
+
+
 def test_held_out_precision_and_recall(spark):
     sf_dir = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
