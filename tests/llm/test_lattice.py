@@ -1,11 +1,13 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
 from webgauge.llm.lattice import SHORTEST, cells, design_for, meet, nearest_e8, similar_vectors, sketches, unit_vectors
 from webgauge.llm.queries import op2_lattice_dedup
+from webgauge.llm.units import pairs_between, whole_units
 
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("vector", T.StringType()), T.StructField("class", T.StringType())])
 
@@ -92,6 +94,23 @@ def test_equals_brute_force_on_odd_rows(spark, block):
     assert got(similar_vectors(df, block=block)) == brute(rows)
 
 
+def test_units_come_whole_and_pairs_stay_in_them():
+    rng = np.random.default_rng(4)
+    bucket = np.sort(rng.integers(0, 40, 500))
+    table = pa.table({"bucket": bucket, "p": bucket % 2, "q": np.zeros(500, dtype=np.int64), "row": np.arange(500)})
+    for size, least in ((7, 1), (7, 30), (500, 30), (3, 10_000)):
+        seen, pairs = [], []
+        for part, unit in whole_units(iter([*table.to_batches(max_chunksize=size), table.to_batches()[0].slice(0, 0)]), least):
+            rows = part.column("row").to_numpy()
+            seen += rows.tolist()
+            left, right = np.flatnonzero(rows % 3 != 0), np.flatnonzero(rows % 3 != 1)
+            for i, j in pairs_between(unit, left, right, 50):
+                pairs += zip(rows[i].tolist(), rows[j].tolist())
+        assert seen == list(range(500))
+        assert sorted(pairs) == [(i, j) for i in range(500) for j in range(500) if bucket[i] == bucket[j] and i % 3 != 0 and j % 3 != 1]
+    assert list(whole_units(iter([]))) == [] and list(pairs_between(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), 5)) == []
+
+
 def test_lower_threshold_is_refused(spark):
     with pytest.raises(ValueError):
         similar_vectors(spark.createDataFrame([], VECTORS), threshold=0.9)

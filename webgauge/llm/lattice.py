@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from webgauge.llm.arrays import mix
 from webgauge.llm.components import connected
-from webgauge.llm.units import root_of, to_batch, units
+from webgauge.llm.units import pairs_between, root_of, to_batch, units, whole_units
 from webgauge.session import materialize
 
 THRESHOLD = 0.95
@@ -210,27 +210,15 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of each unit that have a pair with similar sketches."""
-    out: list[tuple] = []
-    for table in units(batches):
+    for table, unit in whole_units(batches):
         owners, probers = _sides(table)
         classes = table.column("class").to_numpy()
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(table.num_rows, -1)
         left = np.zeros(table.num_rows, dtype=bool)
-        step = max(1, PAIRS_AT_ONCE // max(1, len(probers)))
-        for at in range(0, len(owners), step):
-            some = owners[at : at + step]
-            different = np.bitwise_count(bits[some][:, None, :] ^ bits[probers][None, :, :]).sum(axis=2)
-            i, j = np.nonzero((different <= MOST_BITS) & (classes[some][:, None] != classes[probers][None, :]))
-            left[some[i]] = left[probers[j]] = True
-        if left.any():
-            rows = np.flatnonzero(left)
-            names = ("bucket", "p", "q", "class", "side")
-            out += zip(*(table.column(c).to_numpy()[rows].tolist() for c in names))
-        if len(out) >= 5000:
-            yield to_batch(out, UNIT_ROW)
-            out = []
-    if out:
-        yield to_batch(out, UNIT_ROW)
+        for i, j in pairs_between(unit, owners, probers, PAIRS_AT_ONCE):
+            near = (np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= MOST_BITS) & (classes[i] != classes[j])
+            left[i[near]] = left[j[near]] = True
+        yield from table.select([c for c, _ in UNIT_ROW]).filter(pa.array(left)).to_batches()
 
 
 UNIT_ROW = [("bucket", pa.int64()), ("p", pa.int32()), ("q", pa.int32()), ("class", pa.int64()), ("side", pa.int32())]
