@@ -216,22 +216,22 @@ def thin_content(spark, sf_dir):
     return content.thin_content(metrics(spark, sf_dir, "word_count")).select("site", "url", "word_count")
 
 
-def document_metrics_of(spark, sf_dir):
+def document_metrics_of(spark, sf_dir, *columns):
     docs = spark.read.schema("doc_id bigint, text string").parquet(f"{sf_dir}/documents.parquet")
-    return materialize(content.with_text_metrics(deal_few_splits(docs), "text").drop("text", "keyword_counts"))
+    return materialize(content.with_text_metrics(deal_few_splits(docs), "text").select("doc_id", *columns))
 
 
 @query
 def document_metrics(spark, sf_dir):
-    return document_metrics_of(spark, sf_dir).select(
-        "doc_id", "word_count", "character_count", "sentence_count", "syllable_count", "readability",
+    return document_metrics_of(
+        spark, sf_dir, "word_count", "character_count", "sentence_count", "syllable_count", "readability",
         "keyword_density", "average_sentence_length", "average_word_length",
     )
 
 
 @query
 def document_top_keywords(spark, sf_dir):
-    rows = document_metrics_of(spark, sf_dir).select("doc_id", F.posexplode("top_keywords").alias("pos", "k"))
+    rows = document_metrics_of(spark, sf_dir, "top_keywords").select("doc_id", F.posexplode("top_keywords").alias("pos", "k"))
     return rows.select("doc_id", (F.col("pos") + 1).alias("rank"), "k.word", F.col("k.count").alias("count"), "k.density")
 
 
