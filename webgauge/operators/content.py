@@ -25,9 +25,12 @@ def sentence_count(plain: Column) -> Column:
 
 
 def syllable_count(lower: Column) -> Column:
-    """Vowel groups, and one for each word without any: all words less those that match from a vowel on."""
-    silent = count_of(lower, "[^ ]+") - count_of(lower, "[aeiouy][^ ]*")
-    return count_of(lower, "[aeiouy]+") + silent
+    """Vowel groups, and one for each word without any.
+
+    Groups are counted by the length that their last letters take away, as a list of all matches costs more.
+    """
+    groups = F.length(lower) - F.length(F.regexp_replace(lower, "[aeiouy](?![aeiouy])", ""))
+    return groups + count_of(F.concat(F.lit(" "), lower), r" [^ aeiouy]++(?= |\z)")
 
 
 def keyword_counts(lower: Column, unicode: bool = False) -> Column:
