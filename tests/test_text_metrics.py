@@ -70,3 +70,10 @@ def test_document_keywords_measure_only_what_they_return(spark, monkeypatch):
     catalog.document_top_keywords(spark, "/root/testdata/sf0.001")
     assert stored[0].columns == ["doc_id", "top_keywords"]
     assert "aeiouy" not in stored[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_document_metrics_store_only_their_columns(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(catalog, "materialize", lambda df: stored.append(df) or df)
+    assert catalog.document_metrics(spark, "/root/testdata/sf0.001").columns == stored[0].columns
+    assert "top_keywords" not in stored[0].columns
